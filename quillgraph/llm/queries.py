@@ -6,12 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, url_filter
-from .common import table
+from . import bpe, license_scan, quality, toxicity, url_filter
+from .common import crc32_mod, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 5)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", fold != 0, threshold=0.3)
+    return quality.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 3)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", fold != 1, threshold=0.7)
+    return toxicity.score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("bigint").alias("n_licenses"))
@@ -38,7 +50,7 @@ def license_sql() -> str:
         WITH known(sentence, id) AS (VALUES {known}), rules(run, name) AS (VALUES {rules}),
         docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
         cut AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS i
-                FROM (SELECT r, regexp_split_to_array(regexp_replace({low.format("text")}, '[.;!?:](\s|$)', chr(10), 'g'), '[
+                FROM (SELECT r, regexp_split_to_array(regexp_replace({low.format("text")}, '[.;!?:](\s|$)', chr(10), 'g'), '[
 ]+') AS parts FROM docs)),
         ids AS (SELECT r, list(id ORDER BY i) AS ids FROM cut
                 JOIN known ON sentence = regexp_replace(trim(regexp_replace(s, '[^\p{{L}}\p{{N}}.-]+', ' ', 'g')), '\.+$', '') GROUP BY r),
@@ -51,6 +63,8 @@ def license_sql() -> str:
 
 
 QUERIES = {
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_license_scans": op7_license_scans,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filters": op10_url_filters,
