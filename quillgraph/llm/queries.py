@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, license_scan, quality, toxicity, url_filter
+from . import bpe, decontamination, jaccard_join, license_scan, quality, toxicity, url_filter
 from .common import crc32_mod, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
@@ -67,6 +71,7 @@ def license_sql() -> str:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
