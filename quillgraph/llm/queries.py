@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, license_scan, quality, toxicity, url_filter
+from . import bpe, decontamination, jaccard_join, license_scan, pii, quality, toxicity, url_filter
 from .common import crc32_mod, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -20,6 +20,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 5)
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", fold != 0, threshold=0.3)
@@ -73,6 +77,7 @@ def license_sql() -> str:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_license_scans": op7_license_scans,
