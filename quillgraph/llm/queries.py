@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, jaccard_join, license_scan, pii, quality, toxicity, url_filter
+from . import ann, bpe, decontamination, html_extract, jaccard_join, license_scan, pii, quality, toxicity, url_filter
 from .common import crc32_mod, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -16,6 +16,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
@@ -41,6 +45,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("bigint").alias("n_licenses"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5).select(F.col("query_id").cast("bigint"), "rank", F.col("vec_id").cast("bigint"), "score")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -76,11 +84,13 @@ def license_sql() -> str:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_license_scans": op7_license_scans,
+    "op8_ann": op8_ann,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filters": op10_url_filters,
 }
