@@ -176,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable:
     return fit([np.asarray(t, np.int32) for t in got["terms"]], got["label"].to_numpy(np.float64), threshold)
 
 
-def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Adds ``score`` to the id column, or to all columns if ``keep``."""
+def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, score_col: str = "score") -> DataFrame:
+    """Adds ``score_col`` to the id column, or to all columns if ``keep``."""
     active = np.flatnonzero(model.linear.astype(bool) | model.factors.any(1))
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.scale, model.shift, active, model.linear[active], model.factors[active]))
 
@@ -191,9 +191,9 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
             texts = batch.column(batch.schema.get_field_index(text_col))
             found = [place[terms.of(t.as_py())] for t in texts]
             columns = batch.columns if keep else [batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(own.score(found))], [*([f.name for f in batch.schema] if keep else [id_col]), "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own.score(found))], [*([f.name for f in batch.schema] if keep else [id_col]), score_col])
 
     rows = docs if keep else docs.select(id_col, text_col)
     fields = docs.schema if keep else docs.select(id_col).schema
-    schema = type(fields)([*fields.fields]).add("score", "double")
+    schema = type(fields)([*fields.fields]).add(score_col, "double")
     return rows.mapInArrow(work, schema)
