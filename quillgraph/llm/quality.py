@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 50
 #: Words remembered by a worker at most.
-CACHE = 1_000_000
+CACHE = 500_000
 N_WORD, N_PASSAGE = 10, 14
 
 
@@ -54,19 +54,15 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.shapes: list[tuple[float, ...]] = []
-        self.table = np.zeros((0, N_WORD))
+        self.table = np.zeros((1024, N_WORD))
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = len(self.shapes)
-        self.shapes.append(word_shape(word))
+        self[word] = n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = word_shape(word)
         return n
 
-    def rows(self) -> np.ndarray:
-        if len(self.table) < len(self.shapes):
-            self.table = np.concatenate([self.table, np.array(self.shapes[len(self.table) :])])
-        return self.table
-
     def passages(self, text: str | None) -> np.ndarray:
         """The encoded passages of a whole text, at least one."""
         words = (text or "").split()
@@ -76,16 +72,15 @@ class Words(dict):
         ids = np.fromiter(map(self.__getitem__, words), np.int64, n)
         starts = np.arange(0, n, WINDOW)
         sizes = np.diff(np.append(starts, n))[:, None]
-        means = np.add.reduceat(self.rows()[ids], starts, axis=0) / sizes
+        means = np.add.reduceat(self.table[ids], starts, axis=0) / sizes
         owner = np.arange(n) // WINDOW
         keys = np.sort(owner << 40 | ids)
         first = np.concatenate([[True], keys[1:] != keys[:-1]])
         distinct = np.bincount(keys[first] >> 40, minlength=len(starts))[:, None] / sizes
         again = np.concatenate([[0.0], ids[1:] == ids[:-1]])
         again = np.add.reduceat(again, starts)[:, None] / sizes
-        if len(self.shapes) > CACHE:
+        if len(self) > CACHE:
             self.clear()
-            self.shapes, self.table = [], np.zeros((0, N_WORD))
         return np.concatenate([means, distinct, again, np.log1p(sizes) / 4, np.full_like(distinct, np.log1p(len(starts)) / 4)], axis=1).astype(np.float32)
 
 
