@@ -21,46 +21,47 @@ once, at its best (first of equal) place; columns other than ids and texts are i
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-WORD = regex.compile(r"\w+")
+WORD = re.compile(r"\w+")
 BLOCK_CHARS = 32_000_000
-CACHE = 1_000_000
-TABLE = 1 << 20
 MATCH, MISS = 2, -1
 
 
-class WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.lower())
-        return h
+class Vocabulary(dict):
+    """Word -> number, for the words of the items alone; any other word of a text is 0, which matches nothing."""
+
+    def add(self, text: str | None) -> np.ndarray:
+        words = lowered_words(text or "")
+        return np.fromiter((self.setdefault(w, len(self) + 1) for w in words), U, len(words))
 
     def of(self, text: str | None) -> np.ndarray:
-        words = WORD.findall(text or "")
-        return np.fromiter(map(self.__getitem__, words), U, len(words))
+        words = lowered_words(text or "")
+        return np.fromiter(map(self.get, words, repeat(0)), U, len(words))
+
+
+def lowered_words(text: str) -> list[str]:
+    """The words of a text, lower-cased, as many as WORD finds in it."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
 
 
-def grams(words: np.ndarray, width: int) -> np.ndarray:
-    """A fingerprint for each run of ``width`` words."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, U)
+def grams(runs: np.ndarray, width: int) -> np.ndarray:
+    """A fingerprint for each row of ``width`` words."""
     with np.errstate(over="ignore"):
-        out = words[:n] + U(width)
+        out = runs[:, 0] + U(width)
         for i in range(1, width):
-            out = (out ^ (out >> U(29))) * U(0x9E3779B97F4A7C15) + words[i : n + i]
+            out = (out ^ (out >> U(29))) * U(0x9E3779B97F4A7C15) + runs[:, i]
         return (out ^ (out >> U(32))) * U(0xD6E8FEB86659FD93)
 
 
@@ -71,34 +72,35 @@ class Seeds:
     ids: list
     words: list[np.ndarray]
     width: int
-    keys: np.ndarray = field(default=None)
-    places: dict[int, list[list[tuple[int, int]]]] = field(default=None)
+    vocabulary: Vocabulary
 
     def __post_init__(self) -> None:
         found: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for item, words in enumerate(self.words):
             w = min(self.width, len(words))
             if w:
-                for place, g in enumerate(grams(words, w).tolist()):
+                runs = words[np.arange(len(words) - w + 1)[:, None] + np.arange(w)]
+                for place, g in enumerate(grams(runs, w).tolist()):
                     found[w][g].append((item, place))
         self.by_width = {w: np.array(sorted(x), U) for w, x in found.items()}
         self.places = {w: [x[g] for g in sorted(x)] for w, x in found.items()}
-        self.table = {}
-        for w, keys in self.by_width.items():
-            self.table[w] = np.zeros(TABLE, bool)
-            self.table[w][(keys & U(TABLE - 1)).astype(np.int64)] = True
         self.rare: dict[int, np.ndarray] = {w: np.ones(len(k), bool) for w, k in self.by_width.items()}
 
     def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(width, places in the text, indexes of the grams)."""
+        """(width, places in the text, indexes of the grams); only runs of words that items have are looked up."""
+        known = words != 0
         for w, keys in self.by_width.items():
-            g = grams(words, w)
-            at = np.flatnonzero(self.table[w][(g & U(TABLE - 1)).astype(np.int64)])
-            if len(at):
-                i = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-                ok = keys[i] == g[at]
-                if ok.any():
-                    yield w, at[ok], i[ok]
+            run = known[: len(known) - w + 1].copy()
+            for i in range(1, min(w, len(known))):
+                run &= known[i : len(known) - w + 1 + i]
+            at = np.flatnonzero(run)
+            if not len(at):
+                continue
+            g = grams(words[at[:, None] + np.arange(w)], w)
+            i = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+            ok = keys[i] == g
+            if ok.any():
+                yield w, at[ok], i[ok]
 
     def choose(self, counts: dict[tuple[int, int], int], n_docs: int, rare_docs: int, rare_share: float) -> None:
         """Marks the rare grams, given the number of documents that hold each."""
@@ -163,26 +165,34 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end
 
 
-def best_matches(seeds: Seeds, words: np.ndarray, found: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, float, int, int]]:
-    """(item, similarity, first word, word behind the last) of the contaminations of one text."""
-    best: dict[int, tuple[float, int, int]] = {}
-    found = sorted(found, key=lambda f: (len(seeds.words[f[0]]), f[1]))
-    k = 0
-    while k < len(found):
-        size = len(seeds.words[found[k][0]]) * 2 + 16
-        part = []
-        while k < len(found) and len(seeds.words[found[k][0]]) <= size and len(part) < max(1, 2_000_000 // size**2) + 8:
-            part.append(found[k])
-            k += 1
-        score, end = align([seeds.words[f[0]] for f in part], [words[f[1] : f[2]] for f in part])
-        for (item, start, _), value, last in zip(part, score.tolist(), end.tolist(), strict=True):
-            similarity = value / (MATCH * len(seeds.words[item]))
-            if similarity >= threshold and (item not in best or similarity > best[item][0]):
+def best_matches(seeds: Seeds, texts: list[np.ndarray], threshold: float) -> dict[int, list[tuple[int, float, int, int]]]:
+    """For each contaminated text of a batch, by its place: (item, similarity, first word, word behind the last) of each item."""
+    found = [(len(seeds.words[item]), k, item, start, end) for k, words in enumerate(texts) for item, start, end in seeds.candidates(words)]
+    found.sort()
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    at = 0
+    while at < len(found):
+        most = found[at][0] * 5 // 4 + 8  # pairs of like sizes are aligned at once
+        part = [f for f in found[at : at + max(1, min(512, 4_000_000 // (4 * most * most)))] if f[0] <= most]
+        at += len(part)
+        score, last = align([seeds.words[f[2]] for f in part], [texts[f[1]][f[3] : f[4]] for f in part])
+        for (n, k, item, start, _), value, end in zip(part, score.tolist(), last.tolist(), strict=True):
+            similarity = value / (MATCH * n)
+            if similarity >= threshold and (similarity > best[k, item][0] if (k, item) in best else True):
                 # Aligned backwards from its end, the match ends where it starts.
-                back = words[start : start + last][::-1]
-                _, n = align([seeds.words[item][::-1]], [back])
-                best[item] = similarity, start + last - int(n[0]), start + last
-    return [(item, *value) for item, value in sorted(best.items())]
+                _, back = align([seeds.words[item][::-1]], [texts[k][start : start + end][::-1]])
+                best[k, item] = similarity, start + end - int(back[0]), start + end
+    out: dict[int, list] = defaultdict(list)
+    for (k, item), value in sorted(best.items()):
+        out[k].append((item, *value))
+    return out
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most some hundred texts at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            yield batch.slice(k, 512)
 
 
 def item_blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> Iterator[Seeds]:
@@ -190,11 +200,11 @@ def item_blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str)
     known = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = -(-chars // BLOCK_CHARS)
-    hashes = WordHash()
     for k in range(n_blocks):
+        vocabulary = Vocabulary()
         rows = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).collect()  # about BLOCK_CHARS characters
         rows = sorted(rows, key=lambda r: (str(r["id"]), r["text"]))
-        yield Seeds([r["id"] for r in rows], [hashes.of(r["text"]) for r in rows], width)
+        yield Seeds([r["id"] for r in rows], [vocabulary.add(r["text"]) for r in rows], width, vocabulary)
 
 
 def count_grams(docs: DataFrame, seeds: Seeds, text_col: str) -> tuple[dict[tuple[int, int], int], int]:
@@ -202,12 +212,12 @@ def count_grams(docs: DataFrame, seeds: Seeds, text_col: str) -> tuple[dict[tupl
     sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes, n = sent.value, WordHash(), 0
+        own, n = sent.value, 0
         counts = {w: np.zeros(len(k), np.int64) for w, k in own.by_width.items()}
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0):
-                for w, _, index in own.hits(hashes.of(text.as_py())):
+                for w, _, index in own.hits(own.vocabulary.of(text.as_py())):
                     counts[w][np.unique(index)] += 1
         out = [(w, int(i), int(c[i])) for w, c in counts.items() for i in np.flatnonzero(c)] + [(0, 0, n)]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["width", "gram", "docs"])
@@ -233,16 +243,12 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float
         sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, hashes = sent.value, WordHash()
-            for batch in batches:
+            own = sent.value
+            for batch in parts(batches):
                 rows, items, values = [], [], []
-                for k, text in enumerate(batch.column(1)):
-                    words = hashes.of(text.as_py())
-                    windows = own.candidates(words)
-                    if not windows:
-                        continue
-                    found = best_matches(own, words, windows, threshold)
-                    spans = [m.span() for m in WORD.finditer(text.as_py())] if found else []
+                texts = batch.column(1)
+                for k, found in best_matches(own, [own.vocabulary.of(t.as_py()) for t in texts], threshold).items():
+                    spans = [m.span() for m in WORD.finditer(texts[k].as_py())]
                     for item, similarity, first, last in found:
                         rows.append(k)
                         items.append(own.ids[item])
@@ -261,14 +267,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: floa
         sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, hashes = sent.value, WordHash()
-            for batch in batches:
-                keep = []
-                for text in batch.column(batch.schema.get_field_index(text_col)):
-                    words = hashes.of(text.as_py())
-                    windows = own.candidates(words)
-                    keep.append(not windows or not best_matches(own, words, windows, threshold))
-                yield batch.filter(pa.array(keep, pa.bool_()))
+            own = sent.value
+            for batch in parts(batches):
+                texts = batch.column(batch.schema.get_field_index(text_col))
+                bad = best_matches(own, [own.vocabulary.of(t.as_py()) for t in texts], threshold)
+                yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
     return docs
