@@ -34,7 +34,7 @@ class Typed:
     digits: tuple[int, int] | None = None
 
     def text(self) -> Column:
-        return decimals.canonical(self.col) if self.digits else self.col
+        return decimals.canonical(self.col, self.digits[1]) if self.digits else self.col
 
     def key(self) -> Column:
         """What orders and compares like the value."""
@@ -247,7 +247,7 @@ def stored(t: Typed, f: Field) -> Column:
         return t.text()
     target = f"decimal({f.digits[0]},{f.digits[1]})"
     out = t.col.try_cast(target)
-    return F.when(out == t.col, out) if t.digits else F.when(decimals.canonical(out) == t.col, out)
+    return F.when(out == t.col, out) if t.digits else F.when(decimals.canonical(out, f.digits[1]) == t.col, out)
 
 
 class Reductions:

@@ -64,8 +64,12 @@ def absolute(a: Column) -> Column:
     return _abs(a)
 
 
-def canonical(a: Column) -> Column:
-    """A native decimal as canonical text."""
+def canonical(a: Column, scale: int) -> Column:
+    """A native decimal as canonical text. Up to six places its plain text is never in powers of ten, and only zeros go."""
+    if scale == 0:
+        return a.cast("string")
+    if scale <= 6:
+        return F.regexp_replace(F.regexp_replace(a.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     return _canonical(a.cast("string"))
 
 

@@ -62,7 +62,7 @@ class Run:
 
 def run_plan(plan: Plan, state: GraphState, domain: str = identity.NAMESPACE, persist: bool = True) -> Run:
     """persist: write the state at checkpoints. Without it checkpoints stay lazy."""
-    out = Run(plan, state)
+    out, kept = Run(plan, state), state
     for i, compiled in enumerate(plan.rules):
         outcome: Outcome = execute(out.state, compiled.rule, domain)
         entry = Entry(i, compiled.rule.id, outcome.accepted, outcome.code, outcome.obligation, outcome.counts or {})
@@ -75,7 +75,7 @@ def run_plan(plan: Plan, state: GraphState, domain: str = identity.NAMESPACE, pe
         for c in plan.checkpoints:
             if c.after == compiled.rule.id:
                 if persist:
-                    out.state = out.state.persisted(f"checkpoint-{i}")
+                    kept = out.state = out.state.persisted(f"checkpoint-{i}", since=kept)
                 found = {p.key: profiles.verdicts(out.state, p).first()["verdict"] for p in plan.profiles}
                 out.checkpoints.append(Sealed(c.key, c.after, out.state, found))
     return out

@@ -44,11 +44,13 @@ class GraphState:
             raise SchemaError("; ".join(found))
         return self
 
-    def persisted(self, name: str = "state") -> GraphState:
-        """Cuts the lineage: the tables are written to the shared checkpoint folder and read again."""
+    def persisted(self, name: str = "state", since: GraphState | None = None) -> GraphState:
+        """Cuts the lineage: tables are written to the shared checkpoint folder and read again, but for those that ``since`` has as well."""
         base = f"{checkpoint_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        done = {k: stored_table(df, f"{base}/entities/{k}") for k, df in self.entities.items()}
-        return replace(self, entities=done, relations=stored_table(self.relations, f"{base}/relations"))
+        same = lambda df, old: since is not None and df is old
+        done = {k: df if same(df, since and since.entities[k]) else stored_table(df, f"{base}/entities/{k}") for k, df in self.entities.items()}
+        relations = self.relations if same(self.relations, since and since.relations) else stored_table(self.relations, f"{base}/relations")
+        return replace(self, entities=done, relations=relations)
 
     def digest(self) -> str:
         """The exact state digest: one hash over all entities and relations in order, streamed through the driver. For small states."""
