@@ -8,6 +8,7 @@ values, a guard that holds nowhere, and then the integrity of the changes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from ..functions.columns import Compiler, every, kind_fields, stored
 from ..schema import RELATION_COLUMNS, EntityKind, SchemaError
 from ..state import GraphState, dangling
 from .patch import CHANGE_COLUMNS, changes_of, relation_changes
-from .selector import Selection, select, selection_counts
+from .selector import Selection, select, selection_counts, violates
 
 
 @dataclass(frozen=True)
@@ -32,16 +33,23 @@ class Outcome:
     obligation: str | None = None
     changes: DataFrame | None = None
     counts: dict[str, int] | None = None
+    #: The kind whose new table already reads from a written one.
+    stored: str | None = None
 
     @property
     def accepted(self) -> bool:
         return self.code is None
 
 
-def execute(state: GraphState, rule: R.Rule, domain: str = identity.NAMESPACE) -> Outcome:
-    """Applies a rule to a state."""
+Store = Callable[[DataFrame], DataFrame]
+
+
+def execute(state: GraphState, rule: R.Rule, domain: str = identity.NAMESPACE, store: Store | None = None) -> Outcome:
+    """Applies a rule to a state. store: writes a table and reads it back, for rules that a checkpoint follows."""
+    if isinstance(rule.operation, R.SelectAndAssign):
+        return select_and_assign(state, rule, domain, False, store) or select_and_assign(state, rule, domain, True, store)
     run = {
-        R.SelectAndAssign: select_and_assign, R.InsertEntity: insert_entity, R.DeleteEntity: delete_entity, R.RelateEntities: relate_entities,
+        R.InsertEntity: insert_entity, R.DeleteEntity: delete_entity, R.RelateEntities: relate_entities,
         R.UnrelateEntities: relate_entities, R.MergeEntities: merge_entities, R.SplitEntity: split_entity,
     }[type(rule.operation)]
     out = run(state, rule, domain, False)
@@ -102,30 +110,45 @@ def fault_count(rows: DataFrame, names: list[str]) -> DataFrame:
     return one(rows, value_fault=F.count_if(any_null))
 
 
-def select_and_assign(state: GraphState, rule: R.Rule, domain: str, exact: bool) -> Outcome | None:
+def select_and_assign(state: GraphState, rule: R.Rule, domain: str, exact: bool, store: Store | None = None) -> Outcome | None:
+    """One table holds every row of the kind with its flags and new values; the status is a count over it, the new state a projection of it.
+
+    With ``store`` it is written first, so that status and state read it instead of computing it twice.
+    """
     op: R.SelectAndAssign = rule.operation
     if op.selector.group_by is None:
         raise SchemaError(f"{rule.id}: select-and-assign needs group_by")
     s = select(state, op.selector, [op.guard, *(a.value for a in op.assignments)], exact)
     compiler, kind = s.group_compiler(), state.schema.entity(op.selector.kind)
-    s.groups = s.groups.withColumn("__guard", compiler.bool(op.guard))
-    rows = with_groups(s)
+    columns = ["id", *(f.name for f in kind.fields)]
     names = [a.path.partition(".")[2] for a in op.assignments]
-    for i, (name, a) in enumerate(zip(names, op.assignments, strict=True)):
-        rows = rows.withColumn(f"__v{i}", stored(compiler.typed(a.value), kind.field(name)))
-    new = [f"__v{i}" for i in range(len(names))]
-    passed = rows.where("__guard")
-    n = counted(selection_counts(s), guard_counts(s.groups), fault_count(passed, new))
+    value_of = {name: f"__v{i}" for i, name in enumerate(names)}
+    rows = s.chosen.join(s.groups.withColumn("__guard", compiler.bool(op.guard)), "__key")
+    for name, a in zip(names, op.assignments, strict=True):
+        rows = rows.withColumn(value_of[name], stored(compiler.typed(a.value), kind.field(name)))
+    rows = rows.select(*[F.col(f"`{c}`") for c in columns], F.lit(True).alias("__sel"), F.lit(False).alias("__fault"), violates(op.selector.members, F.col("__n")).alias("__bad"), "__unsure", "__guard", *value_of.values())
+    no = F.lit(False)
+    blank = [no.alias("__bad"), no.alias("__unsure"), no.alias("__guard"), *[F.lit(None).cast(kind.field(n).spark_type()).alias(v) for n, v in value_of.items()]]
+    keep = [F.col(f"`{c}`") for c in columns]
+    others = s.rows.where(~F.coalesce("__where", no)).select(*keep, no.alias("__sel"), F.col("__where").isNull().alias("__fault"), *blank)
+    keyless = s.chosen.where(F.col("__key").isNull()).select(*keep, F.lit(True).alias("__sel"), F.lit(True).alias("__fault"), *blank)
+    full = rows.unionByName(others).unionByName(keyless)
+    if store:
+        full = store(full)
+    any_null = F.lit(False)
+    for v in value_of.values():
+        any_null = any_null | F.col(v).isNull()
+    n = full.agg(
+        F.count_if("__fault").alias("where_fault"), F.count_if("__bad").alias("cardinality"), F.count_if("__sel").alias("groups"), F.count_if("__unsure").alias("unsure"),
+        F.count_if(F.col("__guard").isNull()).alias("guard_fault"), F.count_if("__guard").alias("passed"), F.count_if(F.coalesce("__guard", no) & any_null).alias("value_fault"),
+    ).first().asDict() | {"key_fault": 0}
     if n["unsure"] and not exact:
         return None
     if bad := verdict(n):
         return rejected(state, bad, n)
-    value_of = dict(zip(names, new, strict=True))
-    columns = ["id", *(f.name for f in kind.fields)]
-    updated = rows.select(*[F.when(F.col("__guard"), F.col(value_of[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in value_of else F.col(f"`{c}`") for c in columns])
-    after = s.rows.where(~F.col("__where")).select(*columns).unionByName(updated)
-    changes = changes_of("update", kind.name, passed, {c: F.col(f"`{c}`") for c in names}, {c: F.col(v) for c, v in value_of.items()})
-    return Outcome(state.with_kind(kind.name, after), changes=changes, counts=n)
+    after = full.select(*[F.when(F.col("__guard"), F.col(value_of[c])).otherwise(F.col(f"`{c}`")).alias(c) if c in value_of else F.col(f"`{c}`") for c in columns])
+    changes = changes_of("update", kind.name, full.where("__guard"), {c: F.col(f"`{c}`") for c in names}, {c: F.col(v) for c, v in value_of.items()})
+    return Outcome(state.with_kind(kind.name, after), changes=changes, counts=n, stored=kind.name if store else None)
 
 
 def new_fields(target: EntityKind, assignments: tuple[R.Assignment, ...], rule: str) -> dict[str, R.Assignment]:

@@ -7,6 +7,7 @@ grow with the number of rules.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from .. import rules as R
 from ..functions import identity
 from ..operators.execute import Outcome, execute
 from ..operators.patch import apply_changes
-from ..state import GraphState
+from ..state import GraphState, checkpoint_folder, stored_table
 from . import profiles
 from .compiler import Plan
 
@@ -64,7 +65,10 @@ def run_plan(plan: Plan, state: GraphState, domain: str = identity.NAMESPACE, pe
     """persist: write the state at checkpoints. Without it checkpoints stay lazy."""
     out, kept = Run(plan, state), state
     for i, compiled in enumerate(plan.rules):
-        outcome: Outcome = execute(out.state, compiled.rule, domain)
+        due = [c for c in plan.checkpoints if c.after == compiled.rule.id]
+        path = f"{checkpoint_folder(state.spark)}/rule-{i}-{uuid.uuid4().hex}"
+        store = (lambda df, path=path: stored_table(df, path)) if due and persist else None
+        outcome: Outcome = execute(out.state, compiled.rule, domain, store)
         entry = Entry(i, compiled.rule.id, outcome.accepted, outcome.code, outcome.obligation, outcome.counts or {})
         out.journal.append(entry)
         if not outcome.accepted:
@@ -72,15 +76,24 @@ def run_plan(plan: Plan, state: GraphState, domain: str = identity.NAMESPACE, pe
             break
         out.state = outcome.state
         out.changes.append(outcome.changes)
-        for c in plan.checkpoints:
-            if c.after == compiled.rule.id:
-                if persist:
-                    kept = out.state = out.state.persisted(f"checkpoint-{i}", since=kept)
-                found = {p.key: profiles.verdicts(out.state, p).first()["verdict"] for p in plan.profiles}
-                out.checkpoints.append(Sealed(c.key, c.after, out.state, found))
+        if due and persist:
+            if outcome.stored:
+                kept = kept.with_kind(outcome.stored, out.state.entities[outcome.stored])
+            kept = out.state = out.state.persisted(f"checkpoint-{i}", since=kept)
+        for c in due:
+            out.checkpoints.append(Sealed(c.key, c.after, out.state, assessed(out.state, plan.profiles)))
     return out
 
 
+def assessed(state: GraphState, found: tuple[R.Profile, ...]) -> dict[str, str]:
+    """The verdict of each profile, in one query."""
+    rows = [profiles.verdicts(state, p) for p in found]
+    every = rows[0] if rows else None
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return {r["profile"]: r["verdict"] for r in every.collect()} if every is not None else {}
+
+
 def replay(state: GraphState, changes: list[DataFrame]) -> tuple[GraphState, str | None]:
     """Applies journaled change sets again; the code of the first that does not apply, or None."""
     for c in changes:
