@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import reach_workers
 from . import values as V
 from .functions import identity
 from .schema import EntityKind, Field, RelationKind, Schema
@@ -42,6 +43,7 @@ def nanos(name: str) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, *kinds: str) -> GraphState:
     """A state with the named kinds; the others are empty."""
+    reach_workers(spark)
     table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     long = lambda c: F.col(c).cast("bigint")
 
