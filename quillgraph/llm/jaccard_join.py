@@ -13,9 +13,13 @@ A text's set is its distinct w-word shingles; two texts link when
    of single shingles would be exact as well, but a passage that thousands of texts share
    makes them quadratic.) A size is light where its subsets cost less than its lists
    (``is_light``).
-3. Within each list, members are compared by sketches of the parity of their shingles
-   in 2^k cells: |A xor B| is at least the number of cells that differ, which rejects nearly all
-   false pairs and no true one. A list passes on a spanning forest of what remains, not the pairs.
+3. Lists of at most SHORT sets are scanned for pairs, and the lists that a pair shares are
+   counted: linked sets agree on all but ``differ`` segments, so a pair with fewer common lists goes.
+   In longer lists, which would make too many pairs, members are compared in place and the list passes on a
+   spanning forest of what remains. Both compare sketches of the parity of the shingles in 2^k
+   cells: |A xor B| is at least the number of cells that differ, which rejects nearly all
+   false pairs and no true one. (A linked pair either shares a long list or has all its
+   common lists counted.)
 4. Connected components of these edges are candidate groups; any two sets that link are
    in the same one. Groups are worked through in blocks of at most BLOCK sets: all pairs of
    a block pair are decided on the shingle sets themselves by matrix products, and a
@@ -44,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, drop_written, written
@@ -53,10 +57,12 @@ U = np.uint64
 WORD = regex.compile("[^\x20\x09-\x0d]+")
 #: Sets in a block of a list or a group.
 BLOCK = 1024
+#: The longest list whose pairs are counted one by one.
+SHORT = 16
 #: A list entry costs this many subset entries: it is scanned and its pairs are verified.
 LIST_COST = 6
 #: Words and classes that a task remembers.
-CACHE, CLASSES = 1_000_000, 500_000
+CACHE, CLASSES = 200_000, 200_000
 #: Ids up to this number are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -211,21 +217,33 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return differ <= (plan.den - plan.num) * (size_a[:, None] + size_b[None, :]) // (plan.den + plan.num)
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a graph on range(n)."""
-    up = list(range(n))
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a graph given as a symmetric matrix; in memory no more than the matrix."""
+    fresh = np.ones(len(near), bool)
     out = []
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        while up[j] != j:
-            up[j] = j = up[up[j]]
-        if i != j:
-            up[max(i, j)] = min(i, j)
-            out.append((i, j))
+    for root in np.flatnonzero(near.any(1)).tolist():
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        todo = [root]
+        while todo:
+            v = todo.pop()
+            new = np.flatnonzero(near[v] & fresh)
+            fresh[new] = False
+            new = new.tolist()
+            out += [(v, u) for u in new]
+            todo += new
     return out
 
 
+def across(near: np.ndarray, side: list[int | None]) -> np.ndarray:
+    """Without the edges within a side of a pair of blocks, nor loops."""
+    s = np.array([-1 if x is None else x for x in side])
+    near &= (s[:, None] < 0) | (s[:, None] != s[None, :])
+    np.fill_diagonal(near, False)
+    return near
+
+
 def filed(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
     """For each row: key, class, n and, at the first sight of the class in a task, its list keys and sketch."""
 
@@ -314,10 +332,8 @@ def list_edges(members: DataFrame, plan: Plan) -> DataFrame:
                 if hi - lo < 2:
                     continue
                 x = folded(marks[lo:hi])
-                i, j = np.nonzero(may_link(x, x, n[lo:hi], n[lo:hi], plan))
-                s = np.array([-1 if v is None else v for v in side[lo:hi]])
-                keep = (i < j) & ((s[i] < 0) | (s[i] != s[j]))
-                found.update((int(min(rep[lo + a], rep[lo + b])), int(max(rep[lo + a], rep[lo + b]))) for a, b in pairs_of(hi - lo, i[keep], j[keep]))
+                near = across(may_link(x, x, n[lo:hi], n[lo:hi], plan), side[lo:hi])
+                found.update((int(min(rep[lo + a], rep[lo + b])), int(max(rep[lo + a], rep[lo + b]))) for a, b in forest(near))
             if found:
                 a, b = zip(*sorted(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -325,8 +341,38 @@ def list_edges(members: DataFrame, plan: Plan) -> DataFrame:
     return grouped(blocked(members, "list", "rep").select("task", "side", "rep", "n", "sketch"), "task", "rep").mapInArrow(work, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def pairs_of(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    return [(int(left[0]), int(right[0]))] if len(left) == 1 else forest(n, left, right)
+def least_common_lists(plan: Plan, n_a: Column, n_b: Column) -> Column:
+    """How many lists sets of sizes n_a <= n_b must share to link: all segments but those that may differ or be empty."""
+    out, low = F.lit(1).cast("bigint"), 1
+    bounds_of = []
+    while low < 1 << 31:
+        low, high = plan.interval(low)
+        bounds_of.append((high, *plan.segments(low, high)))
+        low = high + 1
+    for high, count, spare in reversed(bounds_of):
+        out = F.when(n_b <= high, F.lit(count - spare).cast("bigint")).otherwise(out)
+    differ = F.floor(F.lit(plan.den - plan.num) * (n_a + n_b) / F.lit(plan.den + plan.num))
+    return F.when(n_b <= light_bound(plan), F.lit(1)).otherwise(F.greatest(F.lit(1), out - differ))
+
+
+def pair_edges(members: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs of short lists that share enough lists and whose sketches may belong to sets that link."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, n_x, n_y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                both = folded([x, y])
+                keep.append(bool(may_link(both[:1], both[1:], np.array([n_x]), np.array([n_y]), plan)[0, 0]))
+            if any(keep):
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+
+    one, other = (members.select("list", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = one.join(other, "list").where("a < b").groupBy("a", "b", "n_a", "n_b").count()
+    enough = pairs.where(F.col("count") >= least_common_lists(plan, F.least("n_a", "n_b"), F.greatest("n_a", "n_b")))
+    marked = enough.join(marks.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x")), ["a", "n_a"])
+    marked = marked.join(marks.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y")), ["b", "n_b"])
+    return marked.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(work, "a bigint, b bigint")
 
 
 def decided(sets: DataFrame, plan: Plan) -> DataFrame:
@@ -347,13 +393,9 @@ def decided(sets: DataFrame, plan: Plan) -> DataFrame:
                 own = [k for k in range(lo, hi) if k == lo or rep[k] != rep[k - 1] or n[k] != n[k - 1] or raw[k] != raw[k - 1]]
                 if len(own) < 2:
                     continue
-                s = np.array([-1 if side[k] is None else side[k] for k in own])
-                ids, weight = rep[own], size[own]
-                i, j = linked([np.frombuffer(raw[k].as_py(), U) for k in own], n[own], plan)
-                keep = (s[i] < 0) | (s[i] != s[j])
-                i, j = i[keep], j[keep]
-                out += [(int(ids[a]), int(ids[b]), None) for a, b in forest(len(own), i, j)]
-                links = np.bincount(i, weight[j], len(own)) + np.bincount(j, weight[i], len(own))
+                near = across(linked([np.frombuffer(raw[k].as_py(), U) for k in own], n[own], plan), [side[k] for k in own])
+                ids, links = rep[own], near @ size[own]
+                out += [(int(ids[a]), int(ids[b]), None) for a, b in forest(near)]
                 out += [(int(ids[k]), None, int(links[k])) for k in np.flatnonzero(links)]
             if out:
                 a, b, links = zip(*out, strict=True)
@@ -362,29 +404,28 @@ def decided(sets: DataFrame, plan: Plan) -> DataFrame:
     return grouped(sets, "task", "rep").mapInArrow(work, "a bigint, b bigint, links bigint")
 
 
-def linked(sets: list[np.ndarray], n: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs i < j of sets that link."""
+def linked(sets: list[np.ndarray], n: np.ndarray, plan: Plan) -> np.ndarray:
+    """A matrix: which of the sets link?"""
     m = len(sets)
+    both = np.zeros((m, m), np.float32)
     if m <= 8:
-        i, j = np.triu_indices(m, 1)
-        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
+        for a in range(m):
+            for b in range(a):
+                both[a, b] = both[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
     else:
         # Overlaps as a matrix product of 0/1 rows, some thousand shingles at a time.
         every, code = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(m), [len(s) for s in sets])
         order = np.argsort(code, kind="stable")
         code, owner = code[order], owner[order]
-        overlap = np.zeros((m, m), np.float32)
-        step = max(256, (8 << 20) // m // 4)
+        step = max(256, (2 << 20) // m)
         for lo in range(0, len(every), step):
             x, y = np.searchsorted(code, [lo, lo + step])
             part = np.zeros((m, min(step, len(every) - lo)), np.float32)
             part[owner[x:y], code[x:y] - lo] = 1
-            overlap += part @ part.T
-        i, j = np.triu_indices(m, 1)
-        both = overlap[i, j].astype(np.int64)
-    ok = plan.den * both >= plan.num * (n[i] + n[j] - both)
-    return i[ok], j[ok]
+            both += part @ part.T
+    both = both.astype(np.int64)
+    return plan.den * both >= plan.num * (n[:, None] + n[None, :] - both)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -422,9 +463,15 @@ def join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, id_col: s
     entries = base.where("lists is not null").select(F.explode("lists").alias("list"), F.xxhash64("class").alias("short"))
     of_list = Window.partitionBy("list")
     several = entries.select("list", "short", F.min("short").over(of_list).alias("lo"), F.max("short").over(of_list).alias("hi")).where("lo <> hi").select("list", "short").distinct()
-    named = classes.select(F.xxhash64("class").alias("short"), "rep", "n", "sketch")
-    members = written(several.join(named, "short").select("list", "rep", "n", "sketch"), "jaccard-lists")
-    groups = components(list_edges(members, plan), "jaccard-candidates")
+    members = written(several.join(classes.select(F.xxhash64("class").alias("short"), "rep", "n"), "short").select("list", "rep", "n"), "jaccard-lists")
+    slim = written(rows.select("key", "n", "class"), "jaccard-rows")
+    drop_written(rows)
+    rows = slim
+    marks = classes.select("rep", "n", "sketch")
+    long = members.groupBy("list").count().where(F.col("count") > SHORT).select("list")
+    in_long = written(members.join(long, "list", "left_semi").join(marks.select("rep", "sketch"), "rep").select("list", "rep", "n", "sketch"), "jaccard-long-lists")
+    edges = list_edges(in_long, plan).unionByName(pair_edges(members.join(long, "list", "left_anti"), marks, plan))
+    groups = components(edges, "jaccard-candidates")
 
     candidates = written(groups.join(classes.select(F.col("rep").alias("v"), "class", "size", "n"), "v").select(F.col("v").alias("key"), F.col("label").alias("group"), "class", "size", "n"), "jaccard-members")
     wanted = blocked(candidates, "group", "key").select("key", "class", "task", "side", "size", "n")
@@ -435,6 +482,8 @@ def join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, id_col: s
     labels = components(out.where("b is not null"), "jaccard-components").withColumnRenamed("v", "rep")
     links = out.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     facts = classes.select("class", "rep", "size").join(labels, "rep", "left").join(links, "rep", "left").select("class", F.coalesce("label", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    for df in (members, in_long):
+        drop_written(df)
     in_class = rows.where("class is not null").select("key", "n", "class").join(facts, "class", "left").select("key", "n", F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"), F.when(F.col("key").isNotNull(), F.col("n_links")).alias("n_links"))
     empty = rows.where("class is null").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     return in_class.unionByName(empty).select(F.col("key").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
