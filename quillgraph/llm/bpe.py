@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Pre-tokens handled at once; a text of any length is worked through in such steps.
 STEP = 1 << 16
 #: Pre-tokens up to this many characters are remembered: at most CACHE recent ones and as many of the generation before.
-SHORT, CACHE = 48, 400_000
+SHORT, CACHE = 48, 300_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -84,6 +84,30 @@ class RankQueue:
         return rank, bucket[0]
 
 
+class Memo(dict):
+    """Pre-token -> ids: a dictionary, so that a known one costs a plain lookup, with one older generation behind it."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def trim(self) -> None:
+        """Lets go of the older generation, as workers live on after a task."""
+        self.older = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = tuple(self.merge(word.encode("utf-8")))
+        if len(word) <= SHORT:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class BytePairCodec:
     """Encodes and decodes by a list of token bytes, whose index is both id and merge rank."""
 
@@ -95,15 +119,14 @@ class BytePairCodec:
         self.finditer = regex.compile(pattern).finditer
         self.queue = RankQueue(len(tokens))
         self.pairs: dict[tuple[int, int], int] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Memo(self.rank_queue_merge)
 
     def pair_rank(self, left: int, right: int) -> int:
         """The rank at which two adjacent ids merge, or -1."""
         rank = self.pairs.get((left, right))
         if rank is None:
             rank = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-            if len(self.pairs) >= 2_000_000:
+            if len(self.pairs) >= 400_000:
                 self.pairs.clear()
             self.pairs[left, right] = rank
         return rank
@@ -155,21 +178,9 @@ class BytePairCodec:
                     push(left, h)
         return [i for i in ids if i >= 0]
 
-    def __getitem__(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.older.get(word)
-            if ids is None:
-                ids = tuple(self.rank_queue_merge(word.encode("utf-8")))
-            if len(word) <= SHORT:
-                if len(self.known) >= CACHE:
-                    self.older, self.known = self.known, {}
-                self.known[word] = ids
-        return ids
-
     def encode_steps(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, a bounded number of pre-tokens at a time."""
-        get = self.__getitem__
+        get = self.known.__getitem__
         if len(text) <= STEP:
             yield list(chain.from_iterable(map(get, self.findall(text))))
             return
@@ -203,6 +214,7 @@ def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             ids = [own.encode(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+        own.known.trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(work, f"key {kind}, ids array<int>").withColumnRenamed("key", id_col)
@@ -230,6 +242,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 encoded.append(a.hexdigest())
                 decoded.append(b.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.known.trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(work, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

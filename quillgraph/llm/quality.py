@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 50
 #: Words remembered by a worker at most.
-CACHE = 500_000
+CACHE = 300_000
 N_WORD, N_PASSAGE = 10, 14
 
 

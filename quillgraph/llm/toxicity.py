@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 STRIP = ".,;:!?\"'()[]{}<>|#*$%&~`_-«»„“”¿¡"
 #: Words remembered by a worker at most.
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 def term_buckets(word: str) -> tuple[int, ...]:
@@ -165,7 +165,7 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(work, f"key {kind}, terms array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, sample_rows: int = 12_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, sample_rows: int = 8_000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
     """Fits on at most ``sample_rows`` labelled rows (those with the smallest hash of the id) among the ``usable``."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known if usable is None else known.where(usable)
