@@ -63,6 +63,8 @@ SHORT = 16
 LIST_COST = 6
 #: Words and classes that a task remembers.
 CACHE, CLASSES = 200_000, 200_000
+#: Edges that one task contracts.
+CONTRACT = 200_000
 #: Ids up to this number are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -431,11 +433,14 @@ def linked(sets: list[np.ndarray], n: np.ndarray, plan: Plan) -> np.ndarray:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(v, label): the smallest vertex of each vertex's connected component.
 
-    Smallest labels spread over the edges, and each round also takes the label of the
+    Edges are first contracted in parts of bounded size. Then smallest labels spread over them, and each round also takes the label of the
     label, so that rounds grow with the logarithm of the longest path. Every round is written to
     the shared checkpoint folder.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    found = written(edges.select("a", "b"), f"{name}-found")
+    stars = contracted(found)
+    both = written(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    drop_written(found)
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), f"{name}-0")
     for i in range(1, 200):
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
@@ -451,6 +456,33 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return labels
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same vertices: each part of about CONTRACT edges becomes stars around the smallest vertices."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                while up.setdefault(a, a) != a:
+                    up[a] = a = up[up[a]]
+                while up.setdefault(b, b) != b:
+                    up[b] = b = up[up[b]]
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        stars = []
+        for v in up:
+            top = v
+            while up[top] != top:
+                top = up[top]
+            if top != v:
+                stars.append((top, v))
+        if stars:
+            a, b = zip(*stars, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return edges.repartition(1 + edges.count() // CONTRACT).mapInArrow(work, "a bigint, b bigint")
+
+
 def join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns the id column, n_shingles, component_id and n_links (documents linked with this one) for every row."""
     plan = Plan(num, den)
