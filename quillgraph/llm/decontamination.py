@@ -1,16 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores, lower-cased. The seeds of a test item are its
-n-word grams that are rare over the corpus: those in at most ``rare_docs`` documents or
-``rare_share`` of them, and in any case the rarer half of the item's grams, so that an
-item which leaked into very many documents keeps seeds. A text that holds a seed is
+Words are runs of letters, digits and underscores, lower-cased. All n-word grams of a test item are
+its seeds, however many documents hold them. A text that holds a seed is
 aligned with the item around it: local alignment over words, +2 for a match, -1 for a
 substitution, insertion or deletion. The similarity is the score over that of the whole item; from
 ``threshold`` on the text is contaminated. Copies with about a third of the words
-edited are found.
+edited are found. Windows that lack so many of the item's words that no alignment can reach the threshold are
+not aligned; this bound loses nothing.
 
-Two passes over the texts and no shuffle of texts: one counts the grams of the items
-over all documents, one seeds and aligns. The test items are sent to the executors in
+One pass over the texts and no shuffle. The test items are sent to the executors in
 blocks of at most ``BLOCK_CHARS`` characters, so what is broadcast is bounded for any benchmark.
 
 Edge cases: null and empty texts and items match nothing; an item with fewer than n words
@@ -35,6 +33,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 WORD = re.compile(r"\w+")
 BLOCK_CHARS = 32_000_000
+PAIRS = 2_000_000
 MATCH, MISS = 2, -1
 
 
@@ -83,8 +82,10 @@ class Seeds:
                 for place, g in enumerate(grams(runs, w).tolist()):
                     found[w][g].append((item, place))
         self.by_width = {w: np.array(sorted(x), U) for w, x in found.items()}
-        self.places = {w: [x[g] for g in sorted(x)] for w, x in found.items()}
-        self.rare: dict[int, np.ndarray] = {w: np.ones(len(k), bool) for w, k in self.by_width.items()}
+        #: The (item, place) pairs in the order of the grams, and where those of each gram begin.
+        self.pairs = {w: np.array([pair for g in sorted(x) for pair in x[g]], np.int64) for w, x in found.items()}
+        self.begins = {w: np.cumsum([0, *(len(x[g]) for g in sorted(x))]) for w, x in found.items()}
+        self.lengths = np.array([len(x) for x in self.words], np.int64)
 
     def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(width, places in the text, indexes of the grams); only runs of words that items have are looked up."""
@@ -102,41 +103,43 @@ class Seeds:
             if ok.any():
                 yield w, at[ok], i[ok]
 
-    def choose(self, counts: dict[tuple[int, int], int], n_docs: int, rare_docs: int, rare_share: float) -> None:
-        """Marks the rare grams, given the number of documents that hold each."""
-        bound = max(rare_docs, rare_share * n_docs)
-        for w, places in self.places.items():
-            df = np.array([counts.get((w, i), 0) for i in range(len(places))])
-            rare = df <= bound
-            of_item = defaultdict(list)
-            for i, spots in enumerate(places):
-                for item, _ in spots:
-                    of_item[item].append(i)
-            for own in of_item.values():
-                own = sorted(set(own), key=lambda i: df[i])
-                rare[own[: (len(own) + 1) // 2]] = True
-            self.rare[w] = rare
-
-    def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, end): the windows of the text around its rare seeds."""
-        diagonals = defaultdict(list)
+    def diagonals(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place in the text less place in the item) of all seeds, each once, in order."""
+        span = len(words) + int(self.lengths.max(initial=0)) + 1
+        shift = span - len(words)
+        found = [np.zeros(0, np.int64)]
         for w, at, index in self.hits(words):
-            ok = self.rare[w][index]
-            for p, i in zip(at[ok].tolist(), index[ok].tolist(), strict=True):
-                for item, place in self.places[w][i]:
-                    diagonals[item].append(p - place)
+            begins, pairs = self.begins[w], self.pairs[w]
+            sizes = begins[index + 1] - begins[index]
+            ends = np.cumsum(sizes)
+            lo = 0
+            while lo < len(at):  # some million pairs at a time
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+                size = sizes[lo:hi]
+                k = np.arange(size.sum()) + np.repeat(begins[index[lo:hi]] - (np.cumsum(size) - size), size)
+                found.append(np.unique(pairs[k, 0] * span + np.repeat(at[lo:hi], size) - pairs[k, 1] + shift))
+                lo = hi
+        codes = np.unique(np.concatenate(found)) if len(found) > 2 else found[-1]
+        return codes // span, codes % span - shift
+
+    def candidates(self, words: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+        """(item, start, end): the windows of the text around its seeds that hold enough of the item's words."""
+        items, found = self.diagonals(words)
+        if not len(items):
+            return []
+        cut = np.flatnonzero((items[1:] != items[:-1]) | (found[1:] - found[:-1] > self.lengths[items[1:]] // 3 + 4)) + 1
         out = []
-        for item, found in diagonals.items():
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(items)], strict=True):
+            item = int(items[lo])
             n = len(self.words[item])
             slack = n // 3 + 4
-            found = sorted(set(found))
-            first = last = found[0]
-            for d in [*found[1:], None]:
-                if d is not None and d - last <= slack and d - first <= 2 * n:
-                    last = d
-                    continue
-                out.append((item, max(0, first - slack), min(len(words), last + n + slack)))
-                first = last = d
+            while lo < hi:
+                first = int(found[lo])
+                lo += int(np.searchsorted(found[lo:hi], first + 2 * n, side="right"))
+                start, end = max(0, first - slack), min(len(words), int(found[lo - 1]) + n + slack)
+                # At most the item's words that the window holds can match.
+                if np.isin(self.words[item], words[start:end]).sum() / n >= threshold:
+                    out.append((item, start, end))
         return out
 
 
@@ -167,7 +170,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
 
 def best_matches(seeds: Seeds, texts: list[np.ndarray], threshold: float) -> dict[int, list[tuple[int, float, int, int]]]:
     """For each contaminated text of a batch, by its place: (item, similarity, first word, word behind the last) of each item."""
-    found = [(len(seeds.words[item]), k, item, start, end) for k, words in enumerate(texts) for item, start, end in seeds.candidates(words)]
+    found = [(len(seeds.words[item]), k, item, start, end) for k, words in enumerate(texts) for item, start, end in seeds.candidates(words, threshold)]
     found.sort()
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     at = 0
@@ -207,39 +210,12 @@ def item_blocks(benchmark: DataFrame, width: int, item_col: str, text_col: str)
         yield Seeds([r["id"] for r in rows], [vocabulary.add(r["text"]) for r in rows], width, vocabulary)
 
 
-def count_grams(docs: DataFrame, seeds: Seeds, text_col: str) -> tuple[dict[tuple[int, int], int], int]:
-    """In how many documents each gram of the items occurs, and the number of documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = sent.value, 0
-        counts = {w: np.zeros(len(k), np.int64) for w, k in own.by_width.items()}
-        for batch in batches:
-            n += batch.num_rows
-            for text in batch.column(0):
-                for w, _, index in own.hits(own.vocabulary.of(text.as_py())):
-                    counts[w][np.unique(index)] += 1
-        out = [(w, int(i), int(c[i])) for w, c in counts.items() for i in np.flatnonzero(c)] + [(0, 0, n)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["width", "gram", "docs"])
-
-    found = docs.select(text_col).mapInArrow(work, "width bigint, gram bigint, docs bigint").groupBy("width", "gram").agg(F.sum("docs").alias("docs")).collect()  # at most the items' grams
-    counts = {(r["width"], r["gram"]): r["docs"] for r in found}
-    return counts, counts.pop((0, 0), 0)
-
-
-def chosen_seeds(docs: DataFrame, benchmark: DataFrame, width: int, rare_docs: int, rare_share: float, item_col: str, item_text_col: str, text_col: str) -> Iterator[Seeds]:
-    for seeds in item_blocks(benchmark, width, item_col, item_text_col):
-        counts, n_docs = count_grams(docs, seeds, text_col)
-        seeds.choose(counts, n_docs, rare_docs, rare_share)
-        yield seeds
-
-
-def find(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float = 0.5, rare_docs: int = 10, rare_share: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each contaminated document and item: both ids, similarity, n_words of the item, and the span in code points (start, end)."""
     kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"key {kinds[0].simpleString()}, item {kinds[1].simpleString()}, similarity double, n_words bigint, start bigint, end bigint"
     out = docs.sparkSession.createDataFrame([], schema)
-    for seeds in chosen_seeds(docs, benchmark, width, rare_docs, rare_share, item_col, item_text_col, text_col):
+    for seeds in item_blocks(benchmark, width, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -261,9 +237,9 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float
     return out.withColumnsRenamed({"key": id_col, "item": item_col})
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float = 0.5, rare_docs: int = 10, rare_share: float = 1e-4, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 3, threshold: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no item."""
-    for seeds in chosen_seeds(docs, benchmark, width, rare_docs, rare_share, item_col, item_text_col, text_col):
+    for seeds in item_blocks(benchmark, width, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

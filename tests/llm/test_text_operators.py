@@ -156,6 +156,20 @@ def test_decontamination(spark):
     assert decontamination.find(frame, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("quotes", [8, 200])
+def test_decontamination_of_a_popular_half(spark, quotes):
+    """Documents that quote only the words of an item that many others quote too are found, however many they are."""
+    item = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join([f"a{i}", "before", *item[:21], "after", f"b{i}"])) for i in range(quotes)]
+    docs += [(1000 + i, " ".join(["before", *item[21:], "after"])) for i in range(5)] + [(2000, " ".join(item)), (3000, " ".join(item[:19]))]
+    want = {*range(quotes), 2000}
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    found = {r["doc_id"]: r["similarity"] for r in decontamination.find(frame, bench).collect()}
+    assert set(found) == want and found[0] == 42 / 80
+    assert {r["doc_id"] for r in decontamination.clean(frame, bench).collect()} == {i for i, _ in docs} - want
+
+
 def test_alignment_against_a_plain_one():
     rng = np.random.default_rng(0)
     for _ in range(60):
