@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..state import GraphState
 from .compiler import Plan
-from .runner import Run, run_plan
+from .runner import Run, replay, run_plan
 
 #: States of an execution, reasons for missing evidence, and the clauses of the gate.
 LIFECYCLE = ("pending", "running", "succeeded", "failed", "unattempted")
@@ -111,23 +111,35 @@ def gate(evidence: Evidence) -> tuple[bool, dict[str, str]]:
     return all(v == "pass" for v in out.values()), out
 
 
+def reproduced(run: Run) -> bool | None:
+    """Does the journal, replayed from the initial state, give the state of each checkpoint? None where it can't be replayed."""
+    if run.initial is None or not run.checkpoints:
+        return None
+    order = {c.rule.id: i for i, c in enumerate(run.plan.rules)}
+    state, done = run.initial, 0
+    for sealed in run.checkpoints:
+        upto = order.get(sealed.after, -1) + 1
+        if not done <= upto <= len(run.changes) or not upto:
+            return None
+        state, code = replay(state, run.changes[done:upto])
+        if code or state.content_digest() != sealed.state.content_digest():
+            return False
+        done = upto
+    return True
+
+
 def gathered(plan: Plan | None, runs: dict[str, Run], compared: DataFrame | None, backend: str = "spark") -> Evidence:
     """Evidence from runs of a candidate plan and its comparison with a baseline."""
     row = regression(compared).first() if compared is not None else None
-    again = None
-    if runs:
-        first = next(iter(runs.values()))
-        if first.checkpoints:
-            last = first.checkpoints[-1].state
-            again = last.content_digest() == first.checkpoints[-1].state.content_digest()
+    again = [reproduced(r) for r in runs.values()]
     return Evidence(
         compiled=plan is not None,
         sealed=all(r.checkpoints for r in runs.values()) if runs else None,
-        invariants_hold=all(r.status == "succeeded" for r in runs.values()) if runs else None,
+        invariants_hold=all(r.status == "succeeded" and not any(c.state.faults() for c in r.checkpoints) for r in runs.values()) if runs else None,
         ready=all(v == "ready" for r in runs.values() if r.checkpoints for v in r.checkpoints[-1].assessments.values()) if runs else None,
         identities_pinned=all(r.plan.id == plan.id for r in runs.values()) if runs and plan else None,
         corpus_complete=None if row is None else row["n_incomplete"] == 0 and row["n_cases"] > 0,
         no_regression=None if row is None else row["no_regression"],
-        digests_agree=again,
+        digests_agree=False if False in again else None if None in again or not again else True,
         backend=backend,
     )

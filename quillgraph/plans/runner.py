@@ -51,6 +51,7 @@ class Run:
     changes: list[DataFrame] = field(default_factory=list)
     checkpoints: list[Sealed] = field(default_factory=list)
     failure: Entry | None = None
+    initial: GraphState | None = None
 
     @property
     def status(self) -> str:
@@ -63,7 +64,7 @@ class Run:
 
 def run_plan(plan: Plan, state: GraphState, domain: str = identity.NAMESPACE, persist: bool = True) -> Run:
     """persist: write the state at checkpoints. Without it checkpoints stay lazy."""
-    out, kept = Run(plan, state), state
+    out, kept = Run(plan, state, initial=state), state
     for i, compiled in enumerate(plan.rules):
         due = [c for c in plan.checkpoints if c.after == compiled.rule.id]
         path = f"{checkpoint_folder(state.spark)}/rule-{i}-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 """Rule text, compilation, runs with checkpoints, diffs, corpora, the gate, and state files."""
 
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -198,6 +199,28 @@ def test_corpus_and_gate(spark):
         corpus.Policy((("a", "b"), ("a", "c")), "p")
 
 
+def test_gate_replays_every_case(spark):
+    """A journal that does not give the sealed state makes the clause fail, in any case; without evidence it is not evaluated."""
+    source = parse(DISPATCH)
+    plan = compile_rules(source.schema, R.Ruleset(source.ruleset.rules[:2], source.ruleset.checkpoints, source.ruleset.profiles)).plan
+    case = dispatch_state(spark, source.schema)
+    runs = corpus.run_corpus(plan, {"one": case, "two": case}, persist=False)
+    clause = lambda: corpus.gate(corpus.gathered(plan, runs, None))[1]["digest_consistency"]
+    assert clause() == "pass"
+    whole = list(runs["two"].changes)
+    runs["two"].changes[0] = whole[0].limit(0)
+    assert clause() == "fail"
+    runs["two"].changes[:] = []
+    assert clause() == "not_evaluated"
+    runs["two"].changes[:], runs["one"].initial = whole, None
+    assert clause() == "not_evaluated"
+    sealed = runs["two"].checkpoints[-1]
+    drivers = sealed.state.entities["driver"]
+    runs["two"].checkpoints[-1] = replace(sealed, state=sealed.state.with_kind("driver", drivers.unionByName(drivers)))
+    clauses = corpus.gate(corpus.gathered(plan, runs, None))[1]
+    assert clauses["digest_consistency"] == clauses["protected_invariants"] == "fail"
+
+
 def test_emitted_sql_runs(spark, tmp_path):
     """The emitted SQL over staged tables gives the states that the operators give."""
     source = parse(DISPATCH)
