@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,8 +92,8 @@ def base_spans(text: str) -> list[Span]:
 
 #: High-recall generators: kind and pattern; group 1 is the proposed span.
 GENERATORS = (
-    ("secret", re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)\b[\"']?\s{0,3}(?:[:=]|is|\s)\s{0,3}[\"']?([^\s\"',;<>]{6,200})")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9/+_=-])([A-Za-z0-9/+_=-]{16,200})(?![A-Za-z0-9/+_=-])")),
+    ("secret", re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)\b[\"']?\s{0,3}(?:[:=]|is|\s)\s{0,3}[\"']?([^\s\"',;<>]{6,}+)")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9/+_=-])([A-Za-z0-9/+_=-]{16,}+)")),
     ("email_text", re.compile(r"(?i)\b([a-z0-9._%+-]{1,64}\s?(?:\[|\(|\{|\s)\s?at\s?(?:\]|\)|\}|\s)\s?[a-z0-9-]{1,63}(?:\s?(?:\[|\(|\{|\s)\s?dot\s?(?:\]|\)|\}|\s)\s?[a-z0-9-]{2,63}){1,4})\b")),
     ("phone_local", re.compile(r"(?<![\w.+-])(\(?[0-9]{2,5}\)?[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,5}){0,3})(?![\w-]|\.[0-9])")),
     ("id_number", re.compile(r"(?<![\w.-])([0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?)(?![\w-])")),
@@ -107,7 +108,7 @@ def shape_features(text: str, kind: str, start: int, end: int) -> list[float]:
     value = text[start:end]
     n = len(value)
     digits, upper, lower = sum(map(str.isdigit, value)), sum(map(str.isupper, value)), sum(map(str.islower, value))
-    counts = [value.count(c) for c in set(value)]
+    counts = Counter(value).values()
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     hexa = sum(c in "0123456789abcdefABCDEF" for c in value) / n
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:], strict=False)) / n

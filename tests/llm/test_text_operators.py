@@ -215,6 +215,22 @@ def test_pii_rows_and_redaction(spark, odd):
     assert out.columns == odd.columns and out.collect()[0]["text"] is None
 
 
+def test_pii_long_secrets_go_whole(spark):
+    """A secret of any length is one candidate, and nothing of it stays in the text."""
+    rng = random.Random(7)
+    lead = ["see ", 'token = "', "password="]
+    rows, want = [], {}
+    for n in (200, 201, 500, 5000):
+        for k, a in enumerate(lead):
+            secret = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+            rows.append((f"{n}-{k}", f"words {a}{secret}{'\"' if k == 1 else ''} end"))
+            want[f"{n}-{k}"] = f"secret:{6 + len(a)}:{6 + len(a) + n}", f"words {a}[secret]{'\"' if k == 1 else ''} end"
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(frame).collect()}
+    texts = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert {i: (spans[i], texts[i]) for i in want} == want
+
+
 def test_pii_held_out():
     """Candidates of texts from another seed: nearly all are judged right."""
     model = pii.trained(3000)
