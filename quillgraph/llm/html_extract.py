@@ -32,10 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is no text, elements without content, and elements within a line.
-RAW = "script|style|template|noscript|iframe|svg|math|object|canvas|audio|video"
+#: Elements whose content is no text, elements without content, elements within a line (formulas and drawings with them), and
+#: blocks that do not end a paragraph; of these, those of drawings may be closed by "/>".
+RAW = "script|style|template|iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE |= frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mprescripts mtable mtr mtd mspace mstyle mpadded mphantom menclose mfenced merror maction semantics annotation annotation-xml".split())
+INLINE |= frozenset("svg g path circle ellipse rect line polyline polygon defs use symbol tspan textpath lineargradient radialgradient stop clippath mask pattern marker filter animate animatetransform".split())
+DRAWN = frozenset("text desc foreignobject".split())
+WITHIN = DRAWN | frozenset("title noscript object canvas audio video".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table tbody thead select article section div main aside nav footer header body form blockquote".split())
 
@@ -105,7 +110,7 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, float]]:
             links += name == "a"
             continue
         flush()
-        if name in VOID:
+        if name in VOID or (name in DRAWN and m.group(4).endswith("/")):
             continue
         ends = CLOSES.get(name)
         if ends:
@@ -115,7 +120,7 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, float]]:
                     break
                 if stack[k][0] in STOPS:
                     break
-        if stack and stack[-1][0] == "p":
+        if stack and stack[-1][0] == "p" and name not in WITHIN:
             stack.pop()
         stack.append((name, attribute_tokens(m.group(4))))
         links = 0

@@ -338,6 +338,23 @@ def test_html_pages(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_html_media_and_formulas_keep_the_text():
+    """Drawings that are closed by "/>", unclosed media, formulas and fallback content: no text of the page is lost before the field sees it."""
+    page = (
+        "<html><body><nav><a href='/'>Home</a></nav><article><h1>A title of the article</h1><p>The first paragraph <svg width='9'/> has a drawing in its middle.</p>"
+        "<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, the second paragraph goes on.</p><video src='v.mp4'><p>The third paragraph stands behind a video.</p>"
+        "<noscript><p>The fourth paragraph is for readers without scripts.</p></noscript><script>var no = 1;</script><p>The last paragraph ends the article.</p></article></body></html>"
+    )
+    want = [
+        "A title of the article", "The first paragraph has a drawing in its middle.", "Where x=1 holds, the second paragraph goes on.", "The third paragraph stands behind a video.",
+        "The fourth paragraph is for readers without scripts.", "The last paragraph ends the article.",
+    ]
+    assert [text for _, text, _ in html_extract.leaf_blocks(page)] == ["Home", *want]
+    assert html_extract.trained(800).main_text(page) == "\n".join(want)
+    drawn = html_extract.leaf_blocks("<p>One <svg><title>Sign</title><path d=''/><text x='1'/></svg> two</p>")
+    assert [(path[-1][0], text) for path, text, _ in drawn] == [("p", "One"), ("title", "Sign"), ("p", "two")]
+
+
 def test_viterbi_against_all_sequences():
     from itertools import product
 
