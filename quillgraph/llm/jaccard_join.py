@@ -247,7 +247,7 @@ def across(near: np.ndarray, side: list[int | None]) -> np.ndarray:
 
 
 def filed(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """For each row: key, class, n and, at the first sight of the class in a task, its list keys and sketch."""
+    """For each row: key, class, n and, at the first sight of the class with a key in a task, its list keys and sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHash(), set()
@@ -255,10 +255,10 @@ def filed(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 sizes, classes, keys, sketches = [], [], [], []
-                for text in part.column(1):
+                for key, text in zip(part.column(0), part.column(1), strict=True):
                     s = shingles(text.as_py(), width, hashes)
                     c = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                    new = c is not None and c not in seen
+                    new = key.is_valid and c is not None and c not in seen  # rows without a key are not joined
                     if new:
                         if len(seen) >= CLASSES:
                             seen.clear()

@@ -117,3 +117,13 @@ def test_odd_rows(spark):
     kept = J.deduplicate(frame)
     assert kept.columns == frame.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [5, 9, None]
+
+
+def test_null_id_before_its_copy(spark):
+    """A row without an id, met first in a task, does not take the lists of its class with it."""
+    text = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(text)), (1, " ".join(text)), (2, " ".join([*text[:-1], "other"])), (None, " ".join(text))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = [(r["doc_id"], r["component_id"], r["n_links"]) for r in J.join(frame, 3, 9, 10).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, None), (1, 1, 1), (2, 1, 1), (None, None, None)], key=str)
+    assert sorted((r["doc_id"] for r in J.deduplicate(frame).collect()), key=str) == [1, None, None]
