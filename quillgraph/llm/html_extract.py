@@ -146,7 +146,7 @@ def path_features(path: Path) -> tuple[str, ...]:
 def text_features(text: str, link_share: float, place: int, count: int) -> tuple[str, ...]:
     n = text.count(" ") + 1
     out = [f"words:{min(n, 128).bit_length()}", f"links:{int(link_share * 4)}", f"end:{text[-1] in '.!?:;…'}", f"place:{min(3, 4 * place // count)}"]
-    if HINT.search(text if len(text) < 400 else text[:400]):
+    if HINT.search(text):
         out.append("hint" if n > 12 else "hint:short")
     if place == 0:
         out.append("first")

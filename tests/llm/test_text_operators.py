@@ -338,6 +338,10 @@ def test_html_pages(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def test_html_hints_anywhere_in_a_block():
+    assert "hint" in html_extract.text_features("word " * 200 + "copyright", 0, 1, 2)
+
+
 def test_html_media_and_formulas_keep_the_text():
     """Drawings that are closed by "/>", unclosed media, formulas and fallback content: no text of the page is lost before the field sees it."""
     page = (
