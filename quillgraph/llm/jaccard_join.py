@@ -13,22 +13,25 @@ A text's set is its distinct w-word shingles; two texts link when
    of single shingles would be exact as well, but a passage that thousands of texts share
    makes them quadratic.) A size is light where its subsets cost less than its lists
    (``is_light``).
-3. Lists of at most SHORT sets are scanned for pairs, and the lists that a pair shares are
-   counted: linked sets agree on all but ``differ`` segments, so a pair with fewer common lists goes.
-   In longer lists, which would make too many pairs, members are compared in place and the list passes on a
-   spanning forest of what remains. Both compare sketches of the parity of the shingles in 2^k
-   cells: |A xor B| is at least the number of cells that differ, which rejects nearly all
-   false pairs and no true one. (A linked pair either shares a long list or has all its
-   common lists counted.)
+3. Lists with two classes or more become *stars*: a row (smallest class of the list, class), each once
+   however many lists give it. Any two sets of a list are in one star. Within a star, sketches of the parity of the
+   shingles in 2^k cells are compared: |A xor B| is at least the number of cells that differ, which
+   rejects nearly all false pairs and no true one. A star passes on a spanning forest of what remains.
 4. Connected components of these edges are candidate groups; any two sets that link are
-   in the same one. Groups are worked through in blocks of at most BLOCK sets: all pairs of
-   a block pair are decided on the shingle sets themselves by matrix products, and a
-   block pair passes on its spanning forest and each set's number of links.
+   in the same one. Within a group the shingle sets themselves are compared, and the group passes on a
+   spanning forest of its links.
 5. Connected components of these edges are the result.
 
-Hot groups: a class is filed once per task however many copies it has; lists and
-groups larger than BLOCK are dealt as block pairs over the tasks. Shingles are 64-bit
-fingerprints and classes 128-bit ones, so equal means equal up to a hash collision.
+Stars and groups of bounded size are searched breadth first in one task: a set is compared only with sets
+that are not yet reached, so a family of near copies costs about one comparison a set. Larger ones are
+cut in blocks: each block is searched together with the group's leader, and only sets that
+the leader does not reach meet all blocks. With ``links`` (numbers of links are asked for), all pairs of a group
+are compared instead, which grows with the square of a family, over many tasks.
+
+Hot groups: a class is filed once per task however many copies it has; a list that many classes of a
+task share is one entry of the task, and its members are joined to it by (list, entry), which is unique; a class that
+an id repeats is sent once per task. Shingles are 64-bit fingerprints, classes 128-bit ones, and list keys 40 bits and
+more within a bucket: equal sets are equal up to a hash collision, and equal list keys only propose pairs.
 
 Edge cases: null and empty texts have an empty set, link with nothing and are their own
 component; a text with fewer words than w has its whole sequence as its one shingle;
@@ -39,34 +42,41 @@ the text are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, drop_written, written
 
 U = np.uint64
 WORD = regex.compile("[^\x20\x09-\x0d]+")
-#: Sets in a block of a list or a group.
-BLOCK = 1024
-#: The longest list whose pairs are counted one by one.
-SHORT = 16
+#: Sets and shingles in a star or group that one task holds; larger ones are cut in blocks of half of that.
+BLOCK, SHINGLES = 1024, 1 << 20
+#: A list that more classes of one task share is one entry of that task.
+HOT = 64
+#: List entries and classes that a task gathers before it deals them into buckets, and stars that it remembers.
+FLUSH, OFFSETS, STARS = 1 << 20, 1 << 15, 500_000
+#: Bytes of documents for each bucket of list entries.
+BUCKET_BYTES = 1 << 20
 #: A list entry costs this many subset entries: it is scanned and its pairs are verified.
 LIST_COST = 6
 #: Words and classes that a task remembers.
 CACHE, CLASSES = 200_000, 200_000
 #: Edges that one task contracts.
 CONTRACT = 200_000
-#: Ids up to this number are sent to all executors; more are joined by a shuffle.
+#: Rows of ids (some 50 bytes each) up to this number, counted first, are sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Rounds in which labels settle: more than a path of 2^60 needs.
+ROUNDS = 100
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -219,6 +229,67 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return differ <= (plan.den - plan.num) * (size_a[:, None] + size_b[None, :]) // (plan.den + plan.num)
 
 
+class Sets:
+    """Sets of a star or a group: sizes, sketches and, for exact answers, shingles."""
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes], shingles: list[np.ndarray] | None, plan: Plan):
+        self.n, self.shingles, self.plan = n, shingles, plan
+        self.cells = np.array([len(x) for x in sketches])
+        # For each resolution, the sketches of at least this resolution, folded to it.
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for level in np.unique(self.cells).tolist():
+            place = np.cumsum(self.cells >= level) - 1
+            self.at[level] = place, folded([x for x in sketches if len(x) >= level])
+
+    def near(self, v: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others can link with v by their sketches, or do link, if the shingles are there?"""
+        plan, n = self.plan, self.n
+        out = np.zeros(len(others), bool)
+        fit = np.flatnonzero((plan.den * n[others] >= plan.num * n[v]) & (plan.num * n[others] <= plan.den * n[v]))
+        for level, (place, rows) in self.at.items():
+            some = fit[np.minimum(self.cells[others[fit]], self.cells[v]) == level]
+            if len(some):
+                mine = place[v]
+                out[some] = may_link(rows[mine : mine + 1], rows[place[others[some]]], n[v : v + 1], n[others[some]], plan)[0]
+        if self.shingles is not None and out.any():
+            some = np.flatnonzero(out)
+            both = overlaps(self.shingles[v], [self.shingles[u] for u in others[some].tolist()])
+            out[some] = plan.den * both >= plan.num * (n[v] + n[others[some]] - both)
+        return out
+
+
+def overlaps(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of s are in each of the others, which are not empty."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(s, flat)
+    at[at == len(s)] = 0
+    return np.add.reduceat((s[at] == flat).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def search(sets: Sets) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the sets' links, and the sets that the first one reaches; each set is compared with unreached ones only."""
+    fresh = np.ones(len(sets.n), bool)
+    out, first = [], fresh
+    for root in range(len(fresh)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        todo = [root]
+        while todo:
+            left = np.flatnonzero(fresh)
+            if not len(left):
+                break
+            v = todo.pop()
+            new = left[sets.near(v, left)]
+            fresh[new] = False
+            new = new.tolist()
+            out += [(v, u) for u in new]
+            todo += new
+        if root == 0:
+            first = ~fresh
+    return out, first
+
+
 def forest(near: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a graph given as a symmetric matrix; in memory no more than the matrix."""
     fresh = np.ones(len(near), bool)
@@ -238,23 +309,72 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def across(near: np.ndarray, side: list[int | None]) -> np.ndarray:
-    """Without the edges within a side of a pair of blocks, nor loops."""
-    s = np.array([-1 if x is None else x for x in side])
-    near &= (s[:, None] < 0) | (s[:, None] != s[None, :])
-    np.fill_diagonal(near, False)
-    return near
+#: Rows of ``filed``: a document, the list entries of a bucket, the members of a list that a task has as one entry.
+DOCUMENT, ENTRIES, MEMBERS = 0, 1, 2
+FILED = pa.schema(
+    [
+        ("kind", pa.int8()),
+        ("n", pa.int64()),
+        ("class", pa.binary()),
+        ("ref", pa.int64()),
+        ("sketch", pa.binary()),
+        ("list", pa.int64()),
+        ("entries", pa.binary()),
+        ("members", pa.list_(pa.int64())),
+    ]
+)
+
 
+def dealt(lists: list[np.ndarray], start: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """ENTRIES and MEMBERS rows (without key) for the list keys of classes start, start + 1 and so on.
 
-def filed(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
-    """For each row: key, class, n and, at the first sight of the class with a key in a task, its list keys and sketch."""
+    An entry is 40 bits of the key and 16 bits for the class; the topmost marks a list that
+    more than HOT of these classes share, of which only the first has an entry.
+    """
+    keys = np.concatenate(lists)
+    own = np.repeat(np.arange(len(lists), dtype=np.uint16), [len(x) for x in lists])
+    order = np.argsort(keys, kind="stable")
+    keys, own = keys[order] >> U(24 - bits), own[order]  # bits of the bucket, then 40
+    at = bounds(keys)
+    hot = np.flatnonzero(np.diff(at) > HOT).tolist()
+    keep = np.ones(len(keys), bool)
+    flag = own.copy()
+    some: list[tuple[int, int, list[int]]] = []
+    for i in hot:
+        run = slice(int(at[i]), int(at[i + 1]))
+        some.append((int(keys[run.start]), start + int(own[run.start]), (own[run].astype(np.int64) + start).tolist()))
+        keep[run.start + 1 : run.stop] = False
+        flag[run.start] |= OFFSETS
+    keys, flag = keys[keep], flag[keep]
+    buckets = (keys >> U(40)).astype(np.int64)
+    low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5]
+    cut = bounds(buckets).tolist()
+    head = start.to_bytes(8, "little")
+    blobs = [head + low[x:y].tobytes() + flag[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    for rows in (
+        {"kind": [ENTRIES] * len(blobs), "list": buckets[cut[:-1]].tolist(), "entries": blobs},
+        {"kind": [MEMBERS] * len(some), "list": [x for x, _, _ in some], "ref": [x for _, x, _ in some], "members": [x for _, _, x in some]},
+    ):
+        m = len(rows["kind"])
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.array(rows.get(f.name, [None] * m), f.type) for f in FILED], schema=FILED)
+
+
+def filed(docs: DataFrame, width: int, plan: Plan, bits: int) -> DataFrame:
+    """DOCUMENT rows (key, n, class; ref and sketch at the first sight of the class with a key in a task), ENTRIES and MEMBERS rows."""
+    key_type = docs.schema["key"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHash(), set()
+        start = made = TaskContext.get().partitionId() << 40
+        lists: list[np.ndarray] = []
+        waiting = 0
+        none: pa.DataType | None = None
         for batch in batches:
+            none = batch.column(0).type
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                sizes, classes, keys, sketches = [], [], [], []
+                sizes, classes, refs, sketches = [], [], [], []
                 for key, text in zip(part.column(0), part.column(1), strict=True):
                     s = shingles(text.as_py(), width, hashes)
                     c = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
@@ -263,14 +383,82 @@ def filed(docs: DataFrame, width: int, plan: Plan) -> DataFrame:
                         if len(seen) >= CLASSES:
                             seen.clear()
                         seen.add(c)
+                        lists.append(signatures(s, plan))
+                        waiting += len(lists[-1])
                     sizes.append(len(s))
                     classes.append(c)
-                    keys.append(signatures(s, plan).view(np.int64) if new else None)
+                    refs.append(made if new else None)
                     sketches.append(sketch(s, plan) if new else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["key", "n", "class", "lists", "sketch"])
+                    made += new
+                    if waiting >= FLUSH or len(lists) >= OFFSETS:
+                        yield from keyed(dealt(lists, start, bits), none)
+                        lists, waiting, start = [], 0, made
+                m = len(sizes)
+                rows = {"kind": [DOCUMENT] * m, "n": sizes, "class": classes, "ref": refs, "sketch": sketches}
+                out = [pa.array(rows.get(f.name, [None] * m), f.type) for f in FILED]
+                yield pa.RecordBatch.from_arrays([part.column(0), *out], ["key", *FILED.names])
+        if waiting:
+            yield from keyed(dealt(lists, start, bits), none)
+
+    def keyed(found: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for x in found:
+            yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, kind), *x.columns], ["key", *FILED.names])
+
+    return docs.mapInArrow(
+        work, f"key {key_type}, kind tinyint, n bigint, class binary, ref bigint, sketch binary, list bigint, entries binary, members array<bigint>"
+    )
+
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(work, f"key {kind}, n bigint, class binary, lists array<bigint>, sketch binary")
+def stars(filed_rows: DataFrame) -> DataFrame:
+    """(lo, ref): for each list that has two classes or more, its smallest reference with each of its references, itself included."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, waiting = [], 0
+
+        def flushed() -> pa.RecordBatch:
+            rows = np.unique(np.concatenate(found), axis=0)
+            lists = pa.array(rows[:, 2], mask=rows[:, 2] < 0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), lists], ["lo", "ref", "list"])
+
+        for run in runs(batches, "list"):
+            bucket, blobs = run.column("list").to_numpy(), run.column("entries").to_pylist()
+            at = bounds(bucket)
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                keys, refs, hot = entries(blobs[lo:hi])
+                order = np.lexsort((refs, keys))
+                keys, refs, hot = keys[order], refs[order], hot[order]
+                cut = bounds(keys)
+                first, size = cut[:-1], np.diff(cut)
+                use = np.repeat((size > 1) | hot[first], size)
+                if use.any():
+                    least = np.repeat(refs[first], size)[use]
+                    lists = np.where(hot[use], (int(bucket[lo]) << 40) + keys[use], -1)
+                    found.append(np.unique(np.stack([least, refs[use], lists], axis=1), axis=0))
+                    waiting += len(found[-1])
+                if waiting >= STARS:
+                    yield flushed()
+                    found, waiting = [], 0
+        if waiting:
+            yield flushed()
+
+    def entries(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, refs, hot = [], [], []
+        for blob in blobs:
+            m = (len(blob) - 8) // 7
+            wide = np.zeros((m, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 8).reshape(m, 5)
+            flag = np.frombuffer(blob[8 + 5 * m :], np.uint16)
+            keys.append(wide.view(np.int64).ravel())
+            refs.append((flag & (OFFSETS - 1)).astype(np.int64) + int.from_bytes(blob[:8], "little"))
+            hot.append(flag >= OFFSETS)
+        return np.concatenate(keys), np.concatenate(refs), np.concatenate(hot)
+
+    dealt_rows = grouped(filed_rows.where(f"kind = {ENTRIES}").select("list", "entries"), "list", "list")
+    found = written(dealt_rows.mapInArrow(work, "lo bigint, ref bigint, list bigint"), "jaccard-found")
+    members = filed_rows.where(f"kind = {MEMBERS}").select("list", "ref", F.explode("members").alias("member"))
+    # An entry that stands for many classes gives way to them.
+    many = found.where("list is not null").join(members, ["list", "ref"]).select("lo", F.col("member").alias("ref"))
+    return found.where("list is null").select("lo", "ref").unionByName(many).distinct()
 
 
 def grouped(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -304,90 +492,117 @@ def bounds(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def blocked(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Adds ``task``: groups of up to BLOCK rows have one; larger ones are cut in blocks by the hash of ``member``, and each pair of blocks is a task.
+def cut(ids: DataFrame) -> DataFrame:
+    """Adds ``blocks``: 1 where a task can hold the group, else into how many blocks it is cut, and ``block`` by the hash of rep. ids: group, rep, n and others."""
+    size = ids.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("sets") / (BLOCK // 2), F.col("shingles") / (SHINGLES // 2))).cast("int")
+    big = size.where((F.col("sets") > BLOCK) | (F.col("shingles") > SHINGLES)).select("group", blocks.alias("blocks"))
+    some = ids.join(big, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return some.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
-    ``side`` is 0 for the first block of a pair, 1 for the second, and null where the task is one whole group or block.
-    """
-    counted = df.groupBy(key).agg(F.count("*").alias("size_of"))
-    big = counted.where(F.col("size_of") > BLOCK).select(key, F.ceil(F.col("size_of") / (BLOCK // 2)).cast("int").alias("blocks"))
-    rows = df.join(big, key, "left")
-    small = rows.where("blocks is null").drop("blocks").withColumn("task", F.xxhash64(key)).withColumn("side", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), F.when(o == F.col("own"), None).otherwise((F.col("own") > o).cast("int")).alias("side")))
-    cut = rows.where("blocks is not null").withColumn("own", own).withColumn("p", F.explode(pair))
-    cut = cut.withColumn("task", F.xxhash64(key, "p.i", "p.j")).withColumn("side", F.col("p.side")).drop("blocks", "own", "p")
-    return small.unionByName(cut)
 
+def task_of(*parts: Column) -> Column:
+    return F.struct(F.xxhash64("group", *parts).alias("task"))
 
-def list_edges(members: DataFrame, plan: Plan) -> DataFrame:
-    """Spanning edges (a, b) of what the sketches leave of each list. members: list, rep, n, sketch."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, "task"):
-            task, rep, n = (run.column(c).to_numpy() for c in ("task", "rep", "n"))
-            side = run.column("side").to_pylist()
-            marks = run.column("sketch").to_pylist()
-            at = bounds(task)
-            found = set()
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                x = folded(marks[lo:hi])
-                near = across(may_link(x, x, n[lo:hi], n[lo:hi], plan), side[lo:hi])
-                found.update((int(min(rep[lo + a], rep[lo + b])), int(max(rep[lo + a], rep[lo + b]))) for a, b in forest(near))
-            if found:
-                a, b = zip(*sorted(found), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def read_set(n: np.ndarray, bodies: pa.ChunkedArray, at: list[int], plan: Plan, exact: bool) -> Sets:
+    bodies = [bodies[k].as_py() for k in at]
+    if not exact:
+        return Sets(n[at], bodies, None, plan)
+    sets = [np.frombuffer(x, U) for x in bodies]
+    return Sets(n[at], [sketch(s, plan) for s in sets], sets, plan)
 
-    return grouped(blocked(members, "list", "rep").select("task", "side", "rep", "n", "sketch"), "task", "rep").mapInArrow(work, "a bigint, b bigint").where("a <> b").distinct()
 
+def pairs_batch(found: list[tuple[int, int, int | None]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["group", "a", "b"])
 
-def least_common_lists(plan: Plan, n_a: Column, n_b: Column) -> Column:
-    """How many lists sets of sizes n_a <= n_b must share to link: all segments but those that may differ or be empty."""
-    out, low = F.lit(1).cast("bigint"), 1
-    bounds_of = []
-    while low < 1 << 31:
-        low, high = plan.interval(low)
-        bounds_of.append((high, *plan.segments(low, high)))
-        low = high + 1
-    for high, count, spare in reversed(bounds_of):
-        out = F.when(n_b <= high, F.lit(count - spare).cast("bigint")).otherwise(out)
-    differ = F.floor(F.lit(plan.den - plan.num) * (n_a + n_b) / F.lit(plan.den + plan.num))
-    return F.when(n_b <= light_bound(plan), F.lit(1)).otherwise(F.greatest(F.lit(1), out - differ))
 
+def group_edges(ids: DataFrame, attach: Callable[[DataFrame], DataFrame], plan: Plan, exact: bool, name: str) -> DataFrame:
+    """Edges (a, b) that connect what links within each group.
 
-def pair_edges(members: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs of short lists that share enough lists and whose sketches may belong to sets that link."""
+    ids: group, rep, n and what ``attach`` needs to add ``body`` (a sketch or, if exact, shingles) to rows of ids with
+    a column ``tasks``, the tasks to which the row goes. The group's leader is the set whose rep is the group.
+    """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y, n_x, n_y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                both = folded([x, y])
-                keep.append(bool(may_link(both[:1], both[1:], np.array([n_x]), np.array([n_y]), plan)[0, 0]))
-            if any(keep):
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
-
-    one, other = (members.select("list", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = one.join(other, "list").where("a < b").groupBy("a", "b", "n_a", "n_b").count()
-    enough = pairs.where(F.col("count") >= least_common_lists(plan, F.least("n_a", "n_b"), F.greatest("n_a", "n_b")))
-    marked = enough.join(marks.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x")), ["a", "n_a"])
-    marked = marked.join(marks.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y")), ["b", "n_b"])
-    return marked.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(work, "a bigint, b bigint")
-
-
-def decided(sets: DataFrame, plan: Plan) -> DataFrame:
-    """Exact links within candidate groups.
-
-    sets: task, side, rep, size (texts of the class), n, shingles (binary). Returns (a, b, links): spanning
-    edges with links null, and rows with b null and the links that a has from one task.
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Searches each block with the leader first. Rows with b null are sets of cut groups that the leader does not reach."""
+        for run in runs(batches, "task"):
+            task, group, rep, n, blocks = (run.column(c).to_numpy() for c in ("task", "group", "rep", "n", "blocks"))
+            at = bounds(task)
+            found: list[tuple[int, int, int | None]] = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                order = sorted(range(lo, hi), key=lambda k: (rep[k] != group[k], rep[k]))
+                near, reached = search(read_set(n, run.column("body"), order, plan, exact))
+                ids_of, g = rep[order].tolist(), int(group[lo])
+                found += {(g, ids_of[a], ids_of[b]): 0 for a, b in near if ids_of[a] != ids_of[b]}
+                if blocks[lo] > 1:
+                    found += {(g, ids_of[k], None): 0 for k in np.flatnonzero(~reached).tolist()}
+            yield from pairs_batch(found)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compares the unreached sets of a block (side 0) with all sets of a block (side 1), of which the reached ones are already connected."""
+        for run in runs(batches, "task"):
+            task, group, rep, n, side, far = (run.column(c).to_numpy() for c in ("task", "group", "rep", "n", "side", "far"))
+            at = bounds(task)
+            found: list[tuple[int, int, int | None]] = []
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                sets = read_set(n, run.column("body"), list(range(lo, hi)), plan, exact)
+                g, up = int(group[lo]), {}
+
+                def top(x: int, up: dict = up) -> int:
+                    while up.setdefault(x, x) != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                known = next((int(rep[k]) for k in range(lo, hi) if side[k] and not far[k]), None)
+                for k in range(lo, hi):
+                    if side[k] and not far[k]:
+                        up[int(rep[k])] = known
+                others = np.flatnonzero(side[lo:hi] == 1)
+                for k in np.flatnonzero(side[lo:hi] == 0).tolist():
+                    a = int(rep[lo + k])
+                    left = np.array([u for u in others.tolist() if top(int(rep[lo + u])) != top(a)], np.int64)
+                    for u in left[sets.near(k, left)].tolist() if len(left) else ():
+                        b = int(rep[lo + u])
+                        if top(a) != top(b):
+                            up[top(a)] = top(b)
+                            found.append((g, a, b))
+            yield from pairs_batch(found)
+
+    some = cut(ids)
+    leader = (F.col("rep") == F.col("group")) & (F.col("blocks") > 1)
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: task_of(i))
+    rows = attach(some.withColumn("tasks", F.when(leader, every).otherwise(F.array(task_of(F.col("block")))))).select("*", F.explode("tasks.task").alias("task"))
+    searched = grouped(rows.select("task", "group", "rep", "n", "blocks", "body"), "task", "rep").mapInArrow(own, "group bigint, a bigint, b bigint")
+    found = written(searched, f"{name}-own")
+    far = found.where("b is null").select("group", F.col("a").alias("rep")).distinct()
+    if far.isEmpty():
+        return found.select("a", "b")
+    # Unreached sets, in blocks of their own, meet each block of their group.
+    counts = far.join(ids.select("group", "rep", "n"), ["group", "rep"]).groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    far_blocks = F.ceil(F.greatest(F.col("sets") / (BLOCK // 2), F.col("shingles") / (SHINGLES // 2))).cast("int")
+    again = some.join(counts.select("group", far_blocks.alias("far_blocks")), "group").join(far.withColumn("far", F.lit(True)), ["group", "rep"], "left")
+    again = again.withColumn("far", F.coalesce("far", F.lit(False))).withColumn("far_block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("far_blocks")).cast("int"))
+    side = lambda i, j, k: F.struct(F.xxhash64("group", i, j).alias("task"), F.lit(k).alias("side"))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("far_blocks") - 1), lambda i: side(i, F.col("block"), 1))
+    as_far = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: side(F.col("far_block"), j, 0))
+    rows = attach(again.withColumn("tasks", F.when(F.col("far"), F.concat(as_other, as_far)).otherwise(as_other))).withColumn("t", F.explode("tasks"))
+    rows = rows.select("t.task", "t.side", "group", "rep", "n", "far", "body")
+    return found.where("b is not null").select("a", "b").unionByName(grouped(rows, "task", "rep").mapInArrow(rest, "group bigint, a bigint, b bigint").select("a", "b"))
+
+
+def counted(ids: DataFrame, attach: Callable[[DataFrame], DataFrame], plan: Plan) -> DataFrame:
+    """All links within the groups: (a, b, links) with spanning edges (links null), and rows with b null and the links that a has from one task.
+
+    ids: group, rep, n, size (texts of the class) and what ``attach`` needs. Groups beyond a task's bounds are cut
+    in blocks, and each pair of blocks is a task.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, "task"):
             task, rep, n, size = (run.column(c).to_numpy() for c in ("task", "rep", "n", "size"))
-            side, raw = run.column("side").to_pylist(), run.column("shingles")
+            side, raw = run.column("side").to_pylist(), run.column("body")
             at = bounds(task)
             out: list[tuple[int, int | None, int | None]] = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -396,14 +611,27 @@ def decided(sets: DataFrame, plan: Plan) -> DataFrame:
                 if len(own) < 2:
                     continue
                 near = across(linked([np.frombuffer(raw[k].as_py(), U) for k in own], n[own], plan), [side[k] for k in own])
-                ids, links = rep[own], near @ size[own]
-                out += [(int(ids[a]), int(ids[b]), None) for a, b in forest(near)]
-                out += [(int(ids[k]), None, int(links[k])) for k in np.flatnonzero(links)]
+                ids_of, links = rep[own], near @ size[own]
+                out += [(int(ids_of[a]), int(ids_of[b]), None) for a, b in forest(near)]
+                out += [(int(ids_of[k]), None, int(links[k])) for k in np.flatnonzero(links)]
             if out:
-                a, b, links = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "links"])
 
-    return grouped(sets, "task", "rep").mapInArrow(work, "a bigint, b bigint, links bigint")
+    some = cut(ids)
+    block = F.col("block")
+    pair = lambda o: F.struct(
+        F.xxhash64("group", F.least(o, block), F.greatest(o, block)).alias("task"), F.when(o == block, None).otherwise((block > o).cast("int")).alias("side")
+    )
+    rows = attach(some.withColumn("tasks", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))).withColumn("t", F.explode("tasks"))
+    return grouped(rows.select("t.task", "t.side", "rep", "n", "size", "body"), "task", "rep").mapInArrow(work, "a bigint, b bigint, links bigint")
+
+
+def across(near: np.ndarray, side: list[int | None]) -> np.ndarray:
+    """Without the edges within a side of a pair of blocks, nor loops."""
+    s = np.array([-1 if x is None else x for x in side])
+    near &= (s[:, None] < 0) | (s[:, None] != s[None, :])
+    np.fill_diagonal(near, False)
+    return near
 
 
 def linked(sets: list[np.ndarray], n: np.ndarray, plan: Plan) -> np.ndarray:
@@ -433,16 +661,21 @@ def linked(sets: list[np.ndarray], n: np.ndarray, plan: Plan) -> np.ndarray:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(v, label): the smallest vertex of each vertex's connected component.
 
-    Edges are first contracted in parts of bounded size. Then smallest labels spread over them, and each round also takes the label of the
+    Edges are first contracted in parts of bounded size; a single part is the result. Else smallest labels spread over them, and each round also takes the label of the
     label, so that rounds grow with the logarithm of the longest path. Every round is written to
     the shared checkpoint folder.
     """
     found = written(edges.select("a", "b"), f"{name}-found")
-    stars = contracted(found)
+    parts = 1 + found.count() // CONTRACT
+    stars = contracted(found, parts)
+    if parts == 1:
+        labels = written(stars.select(F.col("b").alias("v"), F.col("a").alias("label")), f"{name}-labels")
+        drop_written(found)
+        return labels
     both = written(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     drop_written(found)
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("label")), f"{name}-0")
-    for i in range(1, 200):
+    for i in range(1, ROUNDS + 1):
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         new = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
@@ -451,13 +684,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         drop_written(labels)
         labels = step.select("v", "label")
         if not changed:
-            break
-    drop_written(both)
-    return labels
+            drop_written(both)
+            return labels
+    raise RuntimeError(f"labels still change after {ROUNDS} rounds")
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the same vertices: each part of about CONTRACT edges becomes stars around the smallest vertices."""
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (a, b) that connect the same vertices: each part becomes stars (loops included) around the smallest vertices."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict[int, int] = {}
@@ -474,73 +707,110 @@ def contracted(edges: DataFrame) -> DataFrame:
             top = v
             while up[top] != top:
                 top = up[top]
-            if top != v:
-                stars.append((top, v))
+            stars.append((top, v))
         if stars:
             a, b = zip(*stars, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return edges.repartition(1 + edges.count() // CONTRACT).mapInArrow(work, "a bigint, b bigint")
+    return edges.repartition(parts).mapInArrow(work, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns the id column, n_shingles, component_id and n_links (documents linked with this one) for every row."""
+def join(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """Returns the id column (which must cast to bigint), n_shingles, component_id and, if links, n_links (documents linked with this one) for every row."""
+    rows, facts = linked_classes(docs, width, num, den, id_col, text_col, links)
+    names = ["component_id", "n_links"][: 1 + links]
+    in_class = rows.where("class is not null").join(facts, "class", "left").select("key", "n", *[F.when(F.col("key").isNotNull(), F.col(c)).alias(c) for c in names])
+    empty = rows.where("class is null").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("bigint").alias("n_links")).select("key", "n", *names)
+    out_id = F.col("key").cast(docs.schema[id_col].dataType).alias(id_col)
+    return in_class.unionByName(empty).select(out_id, F.col("n").alias("n_shingles"), *names)
+
+
+def linked_classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str, links: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, n, class) of all documents, and class, size, rep, component_id and, if links, n_links of all classes."""
     plan = Plan(num, den)
     texts = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text"))
-    rows = written(filed(texts, width, plan), "jaccard-sets")
-    base = rows.where("class is not null and key is not null")
-    classes = written(base.groupBy("class").agg(F.min("key").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-classes")
-
-    # One shuffle of (list, class) finds the lists with at least two classes; most have one, and end here.
-    entries = base.where("lists is not null").select(F.explode("lists").alias("list"), F.xxhash64("class").alias("short"))
-    of_list = Window.partitionBy("list")
-    several = entries.select("list", "short", F.min("short").over(of_list).alias("lo"), F.max("short").over(of_list).alias("hi")).where("lo <> hi").select("list", "short").distinct()
-    members = written(several.join(classes.select(F.xxhash64("class").alias("short"), "rep", "n"), "short").select("list", "rep", "n"), "jaccard-lists")
-    slim = written(rows.select("key", "n", "class"), "jaccard-rows")
+    rows = written(filed(texts, width, plan, bucket_bits(texts)), "jaccard-filed")
+    slim = written(rows.where(f"kind = {DOCUMENT}").select("key", "n", "class", "ref", "sketch"), "jaccard-rows")
+    base = slim.where("class is not null and key is not null")
+    facts = [F.min("key").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.max("sketch").alias("sketch")]
+    classes = written(base.groupBy("class").agg(*facts), "jaccard-classes")
+
+    refs = base.where("ref is not null").select("ref", "class").join(classes, "class").select("ref", "rep", "n", "class", "sketch")
+    starred = stars(rows).join(refs.select(F.col("ref").alias("lo"), F.col("rep").alias("group")), "lo").join(refs.select("ref", "rep", "n", "class"), "ref")
+    in_stars = starred.groupBy("group", "class").agg(F.first("rep").alias("rep"), F.first("n").alias("n"))
+    in_stars = written(in_stars, "jaccard-stars")
     drop_written(rows)
-    rows = slim
-    marks = classes.select("rep", "n", "sketch")
-    long = members.groupBy("list").count().where(F.col("count") > SHORT).select("list")
-    in_long = written(members.join(long, "list", "left_semi").join(marks.select("rep", "sketch"), "rep").select("list", "rep", "n", "sketch"), "jaccard-long-lists")
-    edges = list_edges(in_long, plan).unionByName(pair_edges(members.join(long, "list", "left_anti"), marks, plan))
-    groups = components(edges, "jaccard-candidates")
-
-    candidates = written(groups.join(classes.select(F.col("rep").alias("v"), "class", "size", "n"), "v").select(F.col("v").alias("key"), F.col("label").alias("group"), "class", "size", "n"), "jaccard-members")
-    wanted = blocked(candidates, "group", "key").select("key", "class", "task", "side", "size", "n")
-    if candidates.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = shingle_sets(texts.join(wanted, "key"), width)
-    out = written(decided(sets, plan), "jaccard-links")
-    labels = components(out.where("b is not null"), "jaccard-components").withColumnRenamed("v", "rep")
-    links = out.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    facts = classes.select("class", "rep", "size").join(labels, "rep", "left").join(links, "rep", "left").select("class", F.coalesce("label", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    for df in (members, in_long):
-        drop_written(df)
-    in_class = rows.where("class is not null").select("key", "n", "class").join(facts, "class", "left").select("key", "n", F.when(F.col("key").isNotNull(), F.col("component_id")).alias("component_id"), F.when(F.col("key").isNotNull(), F.col("n_links")).alias("n_links"))
-    empty = rows.where("class is null").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return in_class.unionByName(empty).select(F.col("key").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
-
-
-def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
-    """rows: key, text, class, task, side, size, n. Replaces the text by its shingles; a text of another class that has the same id goes."""
+    marks = classes.select("class", F.col("sketch").alias("body"))
+    near = group_edges(in_stars, lambda df: df.join(marks, "class"), plan, False, "jaccard-near")
+    groups = components(near, "jaccard-candidates")
+    drop_written(in_stars)
+
+    of_group = classes.select(F.col("rep").alias("v"), "class", "size", "n")
+    ids = written(groups.join(of_group, "v").select(F.col("label").alias("group"), F.col("v").alias("rep"), "class", "size", "n"), "jaccard-members")
+    attach = lambda df: shingle_sets(texts, df, width)
+    if links:
+        out = written(counted(ids, attach, plan), "jaccard-links")
+        edges = out.where("b is not null")
+    else:
+        edges = group_edges(ids, attach, plan, True, "jaccard-exact")
+    labels = components(edges, "jaccard-components").withColumnRenamed("v", "rep")
+    found = classes.select("class", "rep", "size").join(labels, "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
+    if links:
+        more = out.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+        found = found.join(more, "rep", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("size") - 1)
+    return slim.select("key", "n", "class"), found.drop("label", "links")
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """How many buckets (as a power of two) list entries are dealt into, by the planner's estimate of the input's size; any number gives the same result."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(22, max(6, ceil(log2(max(2, size / BUCKET_BYTES)))))
+
+
+def shingle_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """ids (rep, class, tasks and others) with ``body``, the shingles of the text whose key is rep; a text of another class that has the same id goes."""
+    # What is broadcast is counted as it is sent: a row, and an element for each task that it goes to.
+    tasks = ids.select(F.size("tasks").alias("n")).agg(F.sum("n")).first()[0] or 0
+    wanted = F.broadcast(ids) if tasks <= BROADCAST_IDS else ids
+    names = [f.name for f in ids.schema]
+    found = texts.select(F.col("key").alias("rep"), "text").join(wanted, "rep").select("text", *names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes, seen = WordHash(), set()
+        at = names.index("class") + 1
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                sets = [shingles(t.as_py(), width, hashes).tobytes() for t in part.column(0)]
-                own = [xxhash.xxh3_128_digest(s) == c.as_py() for s, c in zip(sets, part.column(1), strict=True)]
-                out = pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(sets, pa.binary())], ["task", "side", "rep", "n", "size", "shingles"])
-                yield out.filter(pa.array(own))
+                keep, sets = [], []
+                for text, rep, c in zip(part.column(0), part.column(names.index("rep") + 1), part.column(at), strict=True):
+                    known = (rep.as_py(), c.as_py())
+                    s = b"" if known in seen else shingles(text.as_py(), width, hashes).tobytes()
+                    keep.append(known not in seen and xxhash.xxh3_128_digest(s) == known[1])
+                    if keep[-1]:
+                        if len(seen) >= CLASSES:
+                            seen.clear()
+                        seen.add(known)
+                    sets.append(s)
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, pa.binary())], [*names, "body"])
+                yield out.filter(pa.array(keep))
 
-    found = rows.select("text", "class", "task", "side", F.col("key").alias("rep"), "n", "size")
-    return found.mapInArrow(work, "task bigint, side int, rep bigint, n bigint, size bigint, shingles binary")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
+    return found.mapInArrow(work, f"{kinds}, body binary")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps one document of each group, that with the smallest id, with all columns; documents without words and those with a null id stay."""
-    found = join(docs, width, num, den, id_col, text_col)
-    kept = found.where(f"component_id = {id_col} or component_id is null").select(id_col).distinct()
-    has_id = docs.where(F.col(id_col).isNotNull())
-    return has_id.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """Keeps one document of each group, that with the smallest id, with all columns; documents without words and those with a null id stay.
+
+    Texts are not shuffled: the ids that go, or that stand in several rows, meet the documents in a join (broadcast up to BROADCAST_IDS of them).
+    """
+    rows, facts = linked_classes(docs, width, num, den, id_col, text_col, False)
+    keyed = rows.where("key is not null")
+    # An id with several texts stays if any of them is kept.
+    placed = keyed.join(facts.select("class", "component_id"), "class", "left")
+    state = placed.groupBy("key").agg(F.max(F.coalesce(F.col("component_id") == F.col("key"), F.lit(True))).alias("kept"), F.count("*").alias("rows"))
+    odd = written(state.where("not kept or rows > 1"), "jaccard-odd")
+    some = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    own, kept = docs[id_col].cast("bigint"), some.where("kept")
+    plain = docs.join(some, own == some["key"], "left_anti")
+    repeated = docs.join(kept, own == kept["key"], "left_semi").dropDuplicates([id_col, text_col])
+    return plain.unionByName(repeated)

@@ -92,9 +92,8 @@ def test_every_linked_pair_shares_enough_lists():
 
 
 def test_large_groups_are_cut_in_blocks(spark, monkeypatch):
-    """With tiny blocks and short lists, block pairs and in-place scans give the same result."""
+    """With tiny blocks, pairs of blocks give the same result."""
     monkeypatch.setattr(J, "BLOCK", 8)
-    monkeypatch.setattr(J, "SHORT", 3)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(120)]
     docs = []
@@ -108,6 +107,51 @@ def test_large_groups_are_cut_in_blocks(spark, monkeypatch):
     assert got == brute(docs, 3, 9, 10)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_lists_and_leaders(spark, monkeypatch, seed):
+    """With tiny blocks, tiny flushes and lists that are hot from four sets on, components are those of brute force, counted links or not."""
+    for name, value in (("BLOCK", 8), ("HOT", 3), ("FLUSH", 3000), ("OFFSETS", 64), ("STARS", 50), ("SHINGLES", 2000)):
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(seed)
+    base, docs = [f"w{i}" for i in range(80)], []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(80)] = f"y{rng.randint(0, 99)}"
+        docs.append((i, " ".join(copy)))
+    docs += [(i, " ".join([f"q{i}x{k}" for k in range(20)] + base[:30])) for i in range(100, 140)]
+    want = brute(docs, 3, 8, 10)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3, "doc_id")
+    for links in (False, True):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.join(frame, 3, 8, 10, links=links).collect()}
+        assert got == {k: v[:2] for k, v in want.items()}
+    assert sorted(r["doc_id"] for r in J.deduplicate(frame, 3, 8, 10).collect()) == sorted({v[1] for v in want.values()})
+
+
+def test_labels_that_do_not_settle_raise(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROUNDS", 1)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
+    monkeypatch.setattr(J, "CONTRACT", 20)
+    with pytest.raises(RuntimeError, match="rounds"):
+        J.components(edges, "test-chain")
+
+
+def test_search_compares_a_family_once(monkeypatch):
+    """Near copies of one text take about one comparison a set, not one a pair."""
+    import numpy as np
+
+    plan, rng, asked = J.Plan(9, 10), np.random.default_rng(1), []
+    base = rng.integers(1, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[3:], rng.integers(1, 1 << 63, 3).astype(np.uint64)])) for _ in range(400)]
+    group = J.Sets(np.array([len(s) for s in sets]), [J.sketch(s, plan) for s in sets], sets, plan)
+    near = group.near
+    monkeypatch.setattr(group, "near", lambda v, others: (asked.append(len(others)), near(v, others))[1])
+    found, reached = J.search(group)
+    assert reached.all()
+    assert len(found) == 399
+    assert sum(asked) < 2 * 400
+
+
 def test_odd_rows(spark):
     rows = [(5, "a b c d e f", "x"), (5, "a b c d e f", "y"), (7, "a b c d e f", None), (None, "a b c d e f", "z"), (9, None, "w")]
     frame = spark.createDataFrame(rows, "doc_id int, text string, n_shingles string")
