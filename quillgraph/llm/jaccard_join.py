@@ -59,8 +59,10 @@ from .common import LOWER_AZ, drop_written, written
 
 U = np.uint64
 WORD = regex.compile("[^\x20\x09-\x0d]+")
-#: Sets and shingles in a star or group that one task holds; larger ones are cut in blocks of half of that.
+#: Sets and shingles in a group that one task holds; larger ones are cut in blocks of half of that.
 BLOCK, SHINGLES = 1024, 1 << 20
+#: The same for stars, whose sketches take some tenths of a byte for each shingle: with large blocks few copies are sent.
+STAR_BLOCK, STAR_SHINGLES = 8192, 1 << 25
 #: A list that more classes of one task share is one entry of that task.
 HOT = 64
 #: List entries and classes that a task gathers before it deals them into buckets, and stars that it remembers.
@@ -492,21 +494,27 @@ def bounds(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def cut(ids: DataFrame) -> DataFrame:
+def cut(ids: DataFrame, exact: bool) -> DataFrame:
     """Adds ``blocks``: 1 where a task can hold the group, else into how many blocks it is cut, and ``block`` by the hash of rep. ids: group, rep, n and others."""
     size = ids.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("sets") / (BLOCK // 2), F.col("shingles") / (SHINGLES // 2))).cast("int")
-    big = size.where((F.col("sets") > BLOCK) | (F.col("shingles") > SHINGLES)).select("group", blocks.alias("blocks"))
+    sets, weight = (BLOCK, SHINGLES) if exact else (STAR_BLOCK, STAR_SHINGLES)
+    big = size.where((F.col("sets") > sets) | (F.col("shingles") > weight)).select("group", blocks_of(exact).alias("blocks"))
     some = ids.join(big, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return some.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
 
+def blocks_of(exact: bool) -> Column:
+    """How many blocks so many sets and shingles are cut into."""
+    sets, weight = (BLOCK, SHINGLES) if exact else (STAR_BLOCK, STAR_SHINGLES)
+    return F.ceil(F.greatest(F.col("sets") / (sets // 2), F.col("shingles") / (weight // 2))).cast("int")
+
+
 def task_of(*parts: Column) -> Column:
     return F.struct(F.xxhash64("group", *parts).alias("task"))
 
 
-def read_set(n: np.ndarray, bodies: pa.ChunkedArray, at: list[int], plan: Plan, exact: bool) -> Sets:
-    bodies = [bodies[k].as_py() for k in at]
+def read_set(n: np.ndarray, bodies: list[bytes], at: list[int], plan: Plan, exact: bool) -> Sets:
+    bodies = [bodies[k] for k in at]
     if not exact:
         return Sets(n[at], bodies, None, plan)
     sets = [np.frombuffer(x, U) for x in bodies]
@@ -529,11 +537,11 @@ def group_edges(ids: DataFrame, attach: Callable[[DataFrame], DataFrame], plan:
         """Searches each block with the leader first. Rows with b null are sets of cut groups that the leader does not reach."""
         for run in runs(batches, "task"):
             task, group, rep, n, blocks = (run.column(c).to_numpy() for c in ("task", "group", "rep", "n", "blocks"))
-            at = bounds(task)
+            at, bodies = bounds(task), run.column("body").to_pylist()
             found: list[tuple[int, int, int | None]] = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 order = sorted(range(lo, hi), key=lambda k: (rep[k] != group[k], rep[k]))
-                near, reached = search(read_set(n, run.column("body"), order, plan, exact))
+                near, reached = search(read_set(n, bodies, order, plan, exact))
                 ids_of, g = rep[order].tolist(), int(group[lo])
                 found += {(g, ids_of[a], ids_of[b]): 0 for a, b in near if ids_of[a] != ids_of[b]}
                 if blocks[lo] > 1:
@@ -544,10 +552,10 @@ def group_edges(ids: DataFrame, attach: Callable[[DataFrame], DataFrame], plan:
         """Compares the unreached sets of a block (side 0) with all sets of a block (side 1), of which the reached ones are already connected."""
         for run in runs(batches, "task"):
             task, group, rep, n, side, far = (run.column(c).to_numpy() for c in ("task", "group", "rep", "n", "side", "far"))
-            at = bounds(task)
+            at, bodies = bounds(task), run.column("body").to_pylist()
             found: list[tuple[int, int, int | None]] = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                sets = read_set(n, run.column("body"), list(range(lo, hi)), plan, exact)
+                sets = read_set(n, bodies, list(range(lo, hi)), plan, exact)
                 g, up = int(group[lo]), {}
 
                 def top(x: int, up: dict = up) -> int:
@@ -562,15 +570,14 @@ def group_edges(ids: DataFrame, attach: Callable[[DataFrame], DataFrame], plan:
                 others = np.flatnonzero(side[lo:hi] == 1)
                 for k in np.flatnonzero(side[lo:hi] == 0).tolist():
                     a = int(rep[lo + k])
-                    left = np.array([u for u in others.tolist() if top(int(rep[lo + u])) != top(a)], np.int64)
-                    for u in left[sets.near(k, left)].tolist() if len(left) else ():
+                    for u in others[sets.near(k, others)].tolist():
                         b = int(rep[lo + u])
                         if top(a) != top(b):
                             up[top(a)] = top(b)
                             found.append((g, a, b))
             yield from pairs_batch(found)
 
-    some = cut(ids)
+    some = cut(ids, exact)
     leader = (F.col("rep") == F.col("group")) & (F.col("blocks") > 1)
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: task_of(i))
     rows = attach(some.withColumn("tasks", F.when(leader, every).otherwise(F.array(task_of(F.col("block")))))).select("*", F.explode("tasks.task").alias("task"))
@@ -581,8 +588,7 @@ def group_edges(ids: DataFrame, attach: Callable[[DataFrame], DataFrame], plan:
         return found.select("a", "b")
     # Unreached sets, in blocks of their own, meet each block of their group.
     counts = far.join(ids.select("group", "rep", "n"), ["group", "rep"]).groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    far_blocks = F.ceil(F.greatest(F.col("sets") / (BLOCK // 2), F.col("shingles") / (SHINGLES // 2))).cast("int")
-    again = some.join(counts.select("group", far_blocks.alias("far_blocks")), "group").join(far.withColumn("far", F.lit(True)), ["group", "rep"], "left")
+    again = some.join(counts.select("group", blocks_of(exact).alias("far_blocks")), "group").join(far.withColumn("far", F.lit(True)), ["group", "rep"], "left")
     again = again.withColumn("far", F.coalesce("far", F.lit(False))).withColumn("far_block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("far_blocks")).cast("int"))
     side = lambda i, j, k: F.struct(F.xxhash64("group", i, j).alias("task"), F.lit(k).alias("side"))
     as_other = F.transform(F.sequence(F.lit(0), F.col("far_blocks") - 1), lambda i: side(i, F.col("block"), 1))
@@ -617,7 +623,7 @@ def counted(ids: DataFrame, attach: Callable[[DataFrame], DataFrame], plan: Plan
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "links"])
 
-    some = cut(ids)
+    some = cut(ids, True)
     block = F.col("block")
     pair = lambda o: F.struct(
         F.xxhash64("group", F.least(o, block), F.greatest(o, block)).alias("task"), F.when(o == block, None).otherwise((block > o).cast("int")).alias("side")

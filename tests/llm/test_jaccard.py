@@ -94,6 +94,7 @@ def test_every_linked_pair_shares_enough_lists():
 def test_large_groups_are_cut_in_blocks(spark, monkeypatch):
     """With tiny blocks, pairs of blocks give the same result."""
     monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "STAR_BLOCK", 8)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(120)]
     docs = []
@@ -110,7 +111,7 @@ def test_large_groups_are_cut_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_hot_lists_and_leaders(spark, monkeypatch, seed):
     """With tiny blocks, tiny flushes and lists that are hot from four sets on, components are those of brute force, counted links or not."""
-    for name, value in (("BLOCK", 8), ("HOT", 3), ("FLUSH", 3000), ("OFFSETS", 64), ("STARS", 50), ("SHINGLES", 2000)):
+    for name, value in (("BLOCK", 8), ("STAR_BLOCK", 8), ("HOT", 3), ("FLUSH", 3000), ("OFFSETS", 64), ("STARS", 50), ("SHINGLES", 2000)):
         monkeypatch.setattr(J, name, value)
     rng = random.Random(seed)
     base, docs = [f"w{i}" for i in range(80)], []
