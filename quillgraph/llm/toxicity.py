@@ -1,11 +1,14 @@
 """Toxicity: a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where x_i says that
-a hashed term occurs. The pairwise part learns combinations (an insult with the
+score = sigmoid(w0 + sum_i w_i x_i + 1/n sum_{i<j} <v_i, v_j> x_i x_j), where x_i says that
+a hashed term occurs and n is how many terms with weights do (else the pairs of a long text drown all else). The pairwise part learns combinations (an insult with the
 mention of a group) which additive weights miss. Terms are the words, A-Z and other
 letters lower-cased and punctuation at both ends dropped, and the first four and five
 letters of longer words, which stand for a stem with any ending.
 
+Every term in at least ``least`` training rows has a weight and factors, however evenly it is spread over the
+classes: a word may count in combination only. Linear weights are shrunk (L1), factors by L2.
+
 Training takes at most ``sample_rows`` labelled documents, those with the smallest hash
 of their id; of these a fifth is kept back to set the calibration, by which a score of
 ``threshold`` is the cut that errs least. Scoring takes whole texts, in one pass.
@@ -13,7 +16,8 @@ of their id; of these a fifth is kept back to set the calibration, by which a sc
 Edge cases: a null or empty text has no terms and gets the score of the bias; labels
 that are null, or whose document is missing, are left out; without any label, or with
 one class only, the score is the smoothed share of the positive class; repeated rows
-are scored one by one; columns other than the id and the text are ignored.
+are scored one by one; of the texts of one labelled id the least one is learnt from; columns other than the id and the
+text are ignored; where all columns are kept, one that has the name of the score column is replaced.
 """
 
 from __future__ import annotations
@@ -81,7 +85,7 @@ class FactorizationMachine:
             if len(row):
                 v = self.factors[row]
                 s = v.sum(0, dtype=np.float64)
-                out[i] += self.linear[row].sum(dtype=np.float64) + 0.5 * (s @ s - np.square(v, dtype=np.float64).sum())
+                out[i] += self.linear[row].sum(dtype=np.float64) + 0.5 * (s @ s - np.square(v, dtype=np.float64).sum()) / len(row)
         return out
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -89,57 +93,68 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, threshold: float = 0.7, rank: int = 8, epochs: int = 12, rate: float = 0.05, l2: float = 1e-3, least: int = 3, seed: int = 7) -> FactorizationMachine:
-    """Trains by mini-batch Adagrad on the log loss; terms in fewer than ``least`` rows keep no weight."""
+def slopes(model: FactorizationMachine, rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The mean log loss's slope by the bias, the buckets of the rows (none empty), and the slopes by their linear weights and factors."""
+    sizes = np.array([len(r) for r in rows])
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    v = model.factors[flat]
+    sums = np.add.reduceat(v, starts, axis=0)
+    pairs = 0.5 * (np.square(sums).sum(1) - np.add.reduceat(np.square(v).sum(1), starts)) / sizes
+    z = np.clip(model.bias + np.add.reduceat(model.linear[flat], starts) + pairs, -35, 35)
+    err = (1 / (1 + np.exp(-z)) - labels) / len(rows)
+    ids, at = np.unique(flat, return_inverse=True)
+    each = (err / sizes)[owner, None] * (sums[owner] - v)
+    by_factor = np.stack([np.bincount(at, column, len(ids)) for column in each.T], axis=1)
+    return float(err.sum()), ids, np.bincount(at, err[owner], len(ids)), by_factor
+
+
+def fit(
+    rows: list[np.ndarray],
+    labels: np.ndarray,
+    threshold: float = 0.7,
+    rank: int = 8,
+    epochs: int = 12,
+    rate: float = 0.1,
+    factor_rate: float = 0.5,
+    l1: float = 2e-3,
+    l2: float = 1e-3,
+    least: int = 10,
+    seed: int = 7,
+) -> FactorizationMachine:
+    """Trains by mini-batch Adagrad on the log loss, with an L1 step on linear weights; terms in fewer than ``least`` rows get no weight."""
     labels = np.asarray(labels, np.float64)
     share = (labels.sum() + 1) / (len(labels) + 2)
     model = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, rank), np.float32))
     if len(labels) < 10 or labels.min() == labels.max():
         return model
     rng = np.random.default_rng(seed)
-    seen = informative(rows, labels, least)
+    seen = np.bincount(np.concatenate(rows), minlength=BUCKETS) >= least
     rows = [r[seen[r]] for r in rows]
     order = rng.permutation(len(rows))
     held, own = order[: len(rows) // 5], order[len(rows) // 5 :]
+    own = own[[len(rows[i]) > 0 for i in own]]
     active = np.flatnonzero(seen)
-    model.factors[active] = rng.normal(0, 0.01, (len(active), rank))
+    model.factors[active] = rng.normal(0, 0.2, (len(active), rank))
     g_linear, g_factors, g_bias = np.full(BUCKETS, 1e-2, np.float32), np.full((BUCKETS, rank), 1e-2, np.float32), 1e-2
     for _ in range(epochs):
         rng.shuffle(own)
         for k in range(0, len(own), 64):
             part = own[k : k + 64]
-            sizes = np.array([len(rows[i]) for i in part])
-            flat, owner = np.concatenate([rows[i] for i in part]), np.repeat(np.arange(len(part)), sizes)
-            v = model.factors[flat]
-            sums, lin = np.zeros((len(part), rank)), np.zeros(len(part))
-            np.add.at(sums, owner, v)
-            np.add.at(lin, owner, model.linear[flat])
-            squares = np.bincount(owner, np.square(v).sum(1), len(part))
-            z = np.clip(model.bias + lin + 0.5 * (np.square(sums).sum(1) - squares), -35, 35)
-            err = 1 / (1 + np.exp(-z)) - labels[part]
-            ids, at = np.unique(flat, return_inverse=True)
-            d_lin = np.bincount(at, err[owner], len(ids)) / len(part) + l2 * model.linear[ids]
-            d_fac = np.zeros((len(ids), rank))
-            np.add.at(d_fac, at, err[owner, None] * (sums[owner] - v))
-            d_fac = d_fac / len(part) + l2 * model.factors[ids]
+            d_bias, ids, d_lin, d_fac = slopes(model, [rows[i] for i in part], labels[part])
+            d_fac += l2 * model.factors[ids]
             g_linear[ids] += d_lin**2
             g_factors[ids] += d_fac**2
-            model.linear[ids] -= rate * d_lin / np.sqrt(g_linear[ids])
-            model.factors[ids] -= 0.3 * rate * d_fac / np.sqrt(g_factors[ids])
-            g_bias += err.mean() ** 2
-            model.bias -= rate * err.mean() / np.sqrt(g_bias)
+            step = rate / np.sqrt(g_linear[ids])
+            moved = model.linear[ids] - step * d_lin
+            model.linear[ids] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1)
+            model.factors[ids] -= factor_rate * d_fac / np.sqrt(g_factors[ids])
+            g_bias += d_bias**2
+            model.bias -= rate * d_bias / np.sqrt(g_bias)
     calibrate(model, model.raw([rows[i] for i in held]), labels[held], threshold)
     return model
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray, least: int, z: float = 1.5) -> np.ndarray:
-    """The buckets in at least ``least`` rows whose log odds between the classes lie ``z`` standard errors from zero."""
-    count = lambda own: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(own)]), minlength=BUCKETS)
-    a, b, n_a, n_b = count(labels == 1), count(labels != 1), (labels == 1).sum(), (labels != 1).sum()
-    odds = np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))
-    return (a + b >= least) & (np.abs(odds) >= z * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
-
-
 def calibrate(model: FactorizationMachine, raw: np.ndarray, labels: np.ndarray, threshold: float) -> None:
     """Shifts the logit so that the cut with the fewest errors on held rows (the middle of the best gap) scores ``threshold``."""
     if not len(raw) or labels.min() == labels.max():
@@ -172,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable:
     known = known.groupBy(id_col).agg(F.max(label_col).alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     sample = docs.select(id_col, text_col).join(F.broadcast(known), id_col)  # bounded by sample_rows
     got = hashed(sample.select(F.struct(id_col, "label").alias("k"), text_col), "k", text_col).select("key.*", "terms").toPandas()
-    got = got.sort_values(id_col, kind="stable").drop_duplicates(id_col)
+    got["terms"] = [tuple(t) for t in got["terms"]]
+    got = got.sort_values([id_col, "terms"]).drop_duplicates(id_col)
     return fit([np.asarray(t, np.int32) for t in got["terms"]], got["label"].to_numpy(np.float64), threshold)
 
 
@@ -193,7 +209,7 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
             columns = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(own.score(found))], [*([f.name for f in batch.schema] if keep else [id_col]), score_col])
 
-    rows = docs if keep else docs.select(id_col, text_col)
-    fields = docs.schema if keep else docs.select(id_col).schema
+    rows = docs.drop(*({score_col} - {id_col, text_col})) if keep else docs.select(id_col, text_col)
+    fields = rows.schema if keep else docs.select(id_col).schema
     schema = type(fields)([*fields.fields]).add(score_col, "double")
     return rows.mapInArrow(work, schema)
