@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -211,6 +212,7 @@ def training_rows(n: int, seed: int = 11) -> Iterator[tuple[str, set[tuple[str,
         lambda: ("phone_local", pick(["call ", "tel ", "phone: ", "tel. ", ""]), f"({num(3)}) {num(3)}-{num(4)}", ""),
         lambda: ("phone_local", pick(["call ", "mobile ", "phone: "]), f"{num(3)}{pick(['-', '.', ' '])}{num(3)}{pick(['-', '.', ' '])}{num(4)}", ""),
         lambda: ("id_number", pick(["ssn ", "SSN: ", ""]), f"{num(3)}-{num(2)}-{num(4)}", ""),
+        lambda: ("secret", f"{pick(['password', 'passphrase', 'Password', 'pwd'])}{pick([': ', '=', ' is '])}", word() + word() + num(int(rng.integers(1, 4))), ""),
         lambda: ("id_number", pick(["iban ", "IBAN: ", ""]), f"{pick(['DE', 'FR', 'ES'])}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", ""),
     )
     false = (
@@ -228,6 +230,13 @@ def training_rows(n: int, seed: int = 11) -> Iterator[tuple[str, set[tuple[str,
         lambda: ("", "", (word() + word() + word() + word() + word() + word()).upper(), pick(["!!", "", "."])),
         lambda: ("", "", (word() + word() + word() + word() + word() + word()).capitalize(), ""),
         lambda: ("", pick(["token ", "password ", "secret "]), (word() + word()).upper(), ""),
+        lambda: ("", pick(["password: ", "secret = ", "token is ", "auth: "]), word() + word(), ""),
+        lambda: ("", pick(["token ", "secret ", "pass "]), word() + num(int(rng.integers(1, 3))) + word(), ""),
+        lambda: ("", pick(["at ", "", "time "]), f"20{num(2)}-{num(2)}-{num(2)}T{num(2)}:{num(2)}:{num(2)}", ""),
+        lambda: ("", pick(["", "total ", "costs "]), f"{num(2)} {num(3)} {num(3)}", pick([" km", " EUR", ""])),
+        lambda: ("", pick(["at ", "", "point "]), f"{num(2)}.{num(4)} {num(3)}.{num(4)}", ""),
+        lambda: ("", "", f"{word()}_{word()}_{word()}_{word()}{num(2)}", ""),
+        lambda: ("", "", f"{num(4)}-{num(4)}-{num(3)}{pick('0123456789X')}", ""),
     )
     for _ in range(n):
         text, spans = words(0, 8), set()
@@ -254,30 +263,58 @@ class Model:
         cut = len(y) * 3 // 4
         self.trees = BoostedTrees().fit(x[:cut], y[:cut])
         held, own = self.trees.score(x[cut:]), y[cut:]
-        self.thresholds = {}
-        for kind in dict(GENERATORS):
-            s, t = held[kinds[cut:] == kind], own[kinds[cut:] == kind]
-            # The lowest threshold from which on the held rows reach the precision asked for.
-            self.thresholds[kind] = next((c for c in np.arange(0.3, 1.0, 0.02) if (s >= c).any() and t[s >= c].mean() >= precision), 0.98)
+        self.thresholds = {kind: precise_from(held[kinds[cut:] == kind], own[kinds[cut:] == kind], precision) for kind in dict(GENERATORS)}
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """The candidates selected beside the base spans: the best first, none overlapping."""
         found = candidates(text)
-        taken = [(a, b) for _, a, b in base]
-        found = [s for s in found if not overlaps(taken, s[1], s[2])]
+        taken = Taken(base)
+        found = [s for s in found if taken.free(s[1], s[2])]
         if not found:
             return []
         scores = self.trees.score(np.array([shape_features(text, *s) for s in found]))
         out: list[Span] = []
         for i in sorted(range(len(found)), key=lambda i: (-scores[i], found[i])):
             kind, a, b = found[i]
-            if scores[i] >= self.thresholds[kind] and not overlaps([(x[1], x[2]) for x in out], a, b):
+            if scores[i] >= self.thresholds[kind] and taken.free(a, b):
                 out.append(found[i])
+                taken.add(a, b)
         return out
 
 
-def overlaps(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(a < y and x < b for x, y in spans)
+def precise_from(scores: np.ndarray, truth: np.ndarray, precision: float) -> float:
+    """The threshold for a kind: the middle of the gap below the lowest score from which on the held-back rows reach the precision, 1 if none does."""
+    order = np.argsort(-scores, kind="stable")
+    s, t = scores[order], truth[order]
+    last = np.append(s[1:] < s[:-1], True)  # equal scores go together
+    enough = np.flatnonzero((np.cumsum(t) / np.arange(1, len(t) + 1) >= precision) & last)
+    if not len(enough):
+        return 1.0
+    k = int(enough[-1])
+    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0)) / 2)
+
+
+class Taken:
+    """Disjoint intervals in the order of the text; each question and addition takes a binary search."""
+
+    def __init__(self, spans: list[Span]):
+        self.ends: list[int] = []
+        self.starts: list[int] = []
+        for a, b in sorted((a, b) for _, a, b in spans):  # those of base spans that overlap become one
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k == len(self.starts) or self.starts[k] >= b
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_right(self.ends, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 @lru_cache(maxsize=4)

@@ -231,6 +231,23 @@ def test_pii_long_secrets_go_whole(spark):
     assert {i: (spans[i], texts[i]) for i in want} == want
 
 
+def test_pii_added_equals_plain_selection():
+    """Spans of the method: best candidates first, compared pair by pair with all that are taken; thresholds come from held-back rows."""
+    model = pii.trained(3000)
+    assert len(set(model.thresholds.values())) == len(model.thresholds) and all(0 < c <= 1 for c in model.thresholds.values())
+    rows = [t for t, _ in pii.training_rows(300, 5)]
+    rows += [" ".join(rows[:100]) + " a@b.example +1 (826) 555-4081 190.137.2.1 " * 5, "", "x"]
+    free = lambda taken, s: all(s[2] <= a or b <= s[1] for _, a, b in taken)
+    for text in rows:
+        base, out = pii.base_spans(text), []
+        found = [s for s in pii.candidates(text) if free(base, s)]
+        scores = model.trees.score(np.array([pii.shape_features(text, *s) for s in found])) if found else []
+        for score, s in sorted(zip(scores, found, strict=True), key=lambda z: (-z[0], z[1])):
+            if score >= model.thresholds[s[0]] and free(base + out, s):
+                out.append(s)
+        assert model.added(text, base) == out
+
+
 def test_pii_held_out():
     """Candidates of texts from another seed: nearly all are judged right."""
     model = pii.trained(3000)
@@ -263,6 +280,53 @@ def test_toxicity_learns_pairs(spark):
     assert np.mean([(got[i] >= 0.7) == bool(truth[i]) for i in range(600, 900)]) > 0.95
 
 
+def test_toxicity_learns_pairs_that_weights_can_not():
+    """Exactly one of two words is toxic: each word alone says nothing, and weights alone (no factors) fail."""
+    rng, terms = random.Random(3), toxicity.Terms()
+    rows, labels = [], []
+    for _ in range(1600):
+        has = rng.choice([("insultword",), ("groupword",), ("insultword", "groupword"), ()])
+        rows.append(terms.of(" ".join(rng.sample([f"n{i}" for i in range(60)], 12) + list(has))))
+        labels.append(float(len(has) == 1))
+    labels = np.array(labels)
+    judged = {}
+    for factor_rate in (0.5, 0.0):
+        model = toxicity.fit(rows[:800], labels[:800], factor_rate=factor_rate)
+        judged[factor_rate] = np.mean((model.score(rows[800:]) >= 0.7) == labels[800:])
+    assert judged[0.5] > 0.95
+    assert judged[0.0] < 0.7
+
+
+def test_toxicity_pairs_and_slopes():
+    """The raw value is the sum over all pairs, and the slopes are those of finite differences."""
+    rng = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(0.3, rng.normal(size=12), rng.normal(size=(12, 3)))
+    rows = [np.sort(rng.choice(12, k, replace=False)) for k in (1, 2, 5, 9)]
+    labels = np.array([0.0, 1, 1, 0])
+    for row, got in zip(rows, model.raw(rows), strict=True):
+        pairs = sum(model.factors[i] @ model.factors[j] for i in row for j in row if i < j)
+        assert np.isclose(got, 0.3 + sum(model.linear[i] for i in row) + pairs / len(row))
+
+    def loss():
+        p = 1 / (1 + np.exp(-model.raw(rows)))
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    def slope(array, at):
+        old, e = array[at], 1e-6
+        array[at] = old + e
+        up = loss()
+        array[at] = old - e
+        down = loss()
+        array[at] = old
+        return (up - down) / (2 * e)
+
+    _, ids, linear, factors = toxicity.slopes(model, rows, labels)
+    for k, i in enumerate(ids):
+        assert np.isclose(linear[k], slope(model.linear, i), atol=1e-6)
+        assert all(np.isclose(factors[k, r], slope(model.factors, (i, r)), atol=1e-6) for r in range(3))
+    assert np.array_equal(toxicity.fit(rows * 3, np.ones(12)).factors[0], np.zeros(8))  # one class only
+
+
 def test_classifiers_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, toxic int, quality int")
     for module in (toxicity, quality):
