@@ -12,30 +12,35 @@ from quillgraph.operators.patch import apply_changes, undo_changes
 from quillgraph.schema import RELATION_TYPE, EntityKind, Field, RelationKind, Schema, SchemaError
 from quillgraph.state import empty_state
 
-LINEAGE = "sha256:" + "0123456789abcdef" * 4
+LINEAGE = identity.lineage_id("tests", "garden")
 S, I = V.STRING, V.INT64
 SCHEMA = Schema(
     (
-        EntityKind("driver", (Field("driver_id", S, True), Field("status", S), Field("depot", S), Field("hours", I))),
-        EntityKind("truck", (Field("truck_id", S, True), Field("depot", S))),
-        EntityKind("team", (Field("depot", S, True), Field("driver_count", I), Field("total_hours", I))),
-        EntityKind("shift_log", (Field("shift_type", S, True), Field("hours", I))),
+        EntityKind("plant", (Field("tag", S, True), Field("stage", S), Field("plot", S), Field("height", I))),
+        EntityKind("pot", (Field("label", S, True), Field("plot", S))),
+        EntityKind("bed", (Field("plot", S, True), Field("plants", I), Field("growth", I))),
+        EntityKind("sample", (Field("sort", S, True), Field("size", I))),
     ),
-    (RelationKind("assigned_truck", "driver", "truck"), RelationKind("team_truck", "team", "truck"), RelationKind("mentor", "driver", "driver")),
+    (RelationKind("stands_in", "plant", "pot"), RelationKind("waters", "bed", "pot"), RelationKind("shades", "plant", "plant")),
 )
-D1, D2, T1 = (identity.source_id(LINEAGE, k, n) for k, n in (("driver", "D1"), ("driver", "D2"), ("truck", "T1")))
+P1, P2, P3 = (identity.source_id(LINEAGE, "plant", n) for n in ("P1", "P2", "P3"))
+Q1, Q2 = (identity.source_id(LINEAGE, "pot", n) for n in ("Q1", "Q2"))
+PLANTS = [(P1, "P1", "SEED", "north", 4), (P2, "P2", "SPROUT", "north", 9), (P3, "P3", "SPROUT", "south", 20)]
+NORTH = call("equal", field("plant.plot"), lit("north"))
 
 
 @pytest.fixture(scope="module")
 def state(spark):
+    """Two plots: two plants and a pot in the north, of which one plant stands in the pot, and a plant in its pot in the south."""
     s = empty_state(spark, SCHEMA, LINEAGE)
-    s = s.with_kind("driver", spark.createDataFrame([(D1, "D1", "AVAILABLE", "CHI", 10), (D2, "D2", "AVAILABLE", "CHI", 15)], SCHEMA.entity("driver").struct()))
-    s = s.with_kind("truck", spark.createDataFrame([(T1, "T1", "CHI")], SCHEMA.entity("truck").struct()))
-    return s.with_relations(spark.createDataFrame([("assigned_truck", "driver", D1, "truck", T1)], RELATION_TYPE)).checked()
+    s = s.with_kind("plant", spark.createDataFrame(PLANTS, SCHEMA.entity("plant").struct()))
+    s = s.with_kind("pot", spark.createDataFrame([(Q1, "Q1", "north"), (Q2, "Q2", "south")], SCHEMA.entity("pot").struct()))
+    edges = [("stands_in", "plant", P1, "pot", Q1), ("stands_in", "plant", P3, "pot", Q2)]
+    return s.with_relations(spark.createDataFrame(edges, RELATION_TYPE)).checked()
 
 
-def drivers(where=None, by="depot", **kw):
-    return R.Selector("driver", where, field(f"driver.{by}") if by else None, **kw)
+def plants(where=None, by="plot", **kw):
+    return R.Selector("plant", where, field(f"plant.{by}") if by else None, **kw)
 
 
 def undone(state, out):
@@ -50,114 +55,117 @@ def rows(df, *columns):
 
 
 def test_select_and_assign_reads_the_state_before(state):
-    op = R.SelectAndAssign(drivers(), (R.Assignment("driver.hours", call("add", field("driver.hours"), over("sum", "driver.hours"))), R.Assignment("driver.status", call("if", call("less", field("driver.hours"), lit(12)), lit("LOW"), lit("HIGH")))))
-    out = execute(state, R.Rule("r", op))
-    assert rows(out.state.entities["driver"], "driver_id", "hours", "status") == [("D1", 35, "LOW"), ("D2", 40, "HIGH")]
+    grown = R.Assignment("plant.height", call("add", field("plant.height"), over("sum", "plant.height")))
+    stage = R.Assignment("plant.stage", call("if", call("less", field("plant.height"), lit(8)), lit("LOW"), lit("HIGH")))
+    out = execute(state, R.Rule("r", R.SelectAndAssign(plants(), (grown, stage))))
+    assert rows(out.state.entities["plant"], "tag", "height", "stage") == [("P1", 17, "LOW"), ("P2", 22, "HIGH"), ("P3", 40, "HIGH")]
     undone(state, out)
 
 
 def test_insert_grouped_and_ungrouped(state):
-    made = (R.Assignment("team.depot", lit("CHI")), R.Assignment("team.driver_count", count()), R.Assignment("team.total_hours", over("sum", "driver.hours")))
-    out = execute(state, R.Rule("form", R.InsertEntity(drivers(members=R.Cardinality("exactly", 2)), "team", lit("TEAM"), made)))
-    assert rows(out.state.entities["team"], "depot", "driver_count", "total_hours") == [("CHI", 2, 25)]
-    assert out.state.entities["team"].first()["id"] == identity.synthetic_id(LINEAGE, "team", "form", [D1, D2], V.string("TEAM"))
+    made = (R.Assignment("bed.plot", lit("north")), R.Assignment("bed.plants", count()), R.Assignment("bed.growth", over("sum", "plant.height")))
+    out = execute(state, R.Rule("form", R.InsertEntity(plants(NORTH, members=R.Cardinality("exactly", 2)), "bed", lit("BED"), made)))
+    assert rows(out.state.entities["bed"], "plot", "plants", "growth") == [("north", 2, 13)]
+    assert out.state.entities["bed"].first()["id"] == identity.synthetic_id(LINEAGE, "bed", "form", [P1, P2], V.string("BED"))
     undone(state, out)
-    log = (R.Assignment("shift_log.shift_type", field("driver.status")), R.Assignment("shift_log.hours", field("driver.hours")))
-    out = execute(state, R.Rule("log", R.InsertEntity(drivers(by=None), "shift_log", field("driver.driver_id"), log)))
-    assert rows(out.state.entities["shift_log"], "hours") == [(10,), (15,)]
+    taken = (R.Assignment("sample.sort", field("plant.stage")), R.Assignment("sample.size", field("plant.height")))
+    out = execute(state, R.Rule("take", R.InsertEntity(plants(by=None), "sample", field("plant.tag"), taken)))
+    assert {r["size"] for r in out.state.entities["sample"].collect()} == {4, 9, 20}
     undone(state, out)
-    again = execute(out.state, R.Rule("log", R.InsertEntity(drivers(by=None), "shift_log", field("driver.driver_id"), log)))
+    again = execute(out.state, R.Rule("take", R.InsertEntity(plants(by=None), "sample", field("plant.tag"), taken)))
     assert again.code == R.COLLISION and again.state is out.state
     with pytest.raises(SchemaError):
-        execute(state, R.Rule("x", R.InsertEntity(drivers(), "team", lit("T"))))
+        execute(state, R.Rule("x", R.InsertEntity(plants(), "bed", lit("B"))))
 
 
 def test_delete_does_not_cascade(state):
-    one = lambda d: R.Rule("del", R.DeleteEntity(drivers(call("equal", field("driver.driver_id"), lit(d)), by=None)))
-    out = execute(state, one("D2"))
-    assert rows(out.state.entities["driver"], "driver_id") == [("D1",)]
+    one = lambda d: R.Rule("del", R.DeleteEntity(plants(call("equal", field("plant.tag"), lit(d)), by=None)))
+    out = execute(state, one("P2"))
+    assert rows(out.state.entities["plant"], "tag") == [("P1",), ("P3",)]
     undone(state, out)
-    assert execute(state, one("D1")).code == R.DANGLING
+    assert execute(state, one("P3")).code == R.DANGLING
     assert execute(state, one("nobody")).code == R.SELECTION_EMPTY
 
 
 def test_relate_and_unrelate(state):
-    same_depot = call("equal", field("driver.depot"), field("truck.depot"))
-    d2 = drivers(call("equal", field("driver.driver_id"), lit("D2")), by=None)
-    out = execute(state, R.Rule("rel", R.RelateEntities("assigned_truck", d2, R.Selector("truck"), same_depot)))
-    assert out.accepted and out.state.relations.count() == 2
+    same_plot = call("equal", field("plant.plot"), field("pot.plot"))
+    only = lambda tag: plants(call("equal", field("plant.tag"), lit(tag)), by=None)
+    rule = lambda kind, who: R.Rule("r", kind("stands_in", who, R.Selector("pot"), same_plot))
+    out = execute(state, rule(R.RelateEntities, only("P2")))
+    assert out.accepted and rows(out.state.relations, "from_id", "to_id") == sorted([(P1, Q1), (P2, Q1), (P3, Q2)], key=str)
     undone(state, out)
-    assert execute(state, R.Rule("rel", R.RelateEntities("assigned_truck", drivers(by=None), R.Selector("truck"), same_depot))).code == R.ALREADY_RELATED
-    assert execute(state, R.Rule("un", R.UnrelateEntities("assigned_truck", drivers(by=None), R.Selector("truck"), same_depot))).code == R.NOT_RELATED
-    d1 = drivers(call("equal", field("driver.driver_id"), lit("D1")), by=None)
-    gone = execute(state, R.Rule("un", R.UnrelateEntities("assigned_truck", d1, R.Selector("truck"), same_depot)))
-    assert gone.state.relations.count() == 0
+    assert execute(state, rule(R.RelateEntities, plants(by=None))).code == R.ALREADY_RELATED
+    assert execute(state, rule(R.UnrelateEntities, plants(by=None))).code == R.NOT_RELATED
+    gone = execute(state, rule(R.UnrelateEntities, only("P3")))
+    assert rows(gone.state.relations, "from_id") == [(P1,)]
     undone(state, gone)
-    younger = call("all", call("less", field("to.hours"), field("from.hours")), call("equal", field("from.depot"), field("to.depot")))
-    out = execute(state, R.Rule("m", R.RelateEntities("mentor", drivers(by=None), drivers(by=None), younger)))
-    assert rows(out.state.relations.where("kind = 'mentor'"), "from_id", "to_id") == [(D2, D1)]
-    both_ways = execute(state, R.Rule("m", R.RelateEntities("mentor", drivers(by=None), drivers(by=None))))
-    assert both_ways.state.relations.where("kind = 'mentor'").count() == 4  # pairs of an entity with itself included
+    over_it = call("all", call("less", field("to.height"), field("from.height")), call("equal", field("from.plot"), field("to.plot")))
+    out = execute(state, R.Rule("m", R.RelateEntities("shades", plants(by=None), plants(by=None), over_it)))
+    assert rows(out.state.relations.where("kind = 'shades'"), "from_id", "to_id") == [(P2, P1)]
+    every = execute(state, R.Rule("m", R.RelateEntities("shades", plants(by=None), plants(by=None))))
+    assert every.state.relations.where("kind = 'shades'").count() == 9  # pairs of an entity with itself included
 
 
 def test_relation_guard_faults(state, spark):
-    d3 = spark.createDataFrame([("sha256:" + "f" * 64, "D3", "AVAILABLE", None, None)], SCHEMA.entity("driver").struct())
-    s = state.with_kind("driver", state.entities["driver"].unionByName(d3))
-    same_depot, low = call("equal", field("driver.depot"), field("truck.depot")), call("less", field("driver.hours"), lit(12))
-    rel = lambda *parts: execute(s, R.Rule("rel", R.RelateEntities("assigned_truck", drivers(by=None), R.Selector("truck"), call("all", *parts))))
-    assert rel(same_depot, low).code == R.EXPRESSION_UNAVAILABLE  # an absent key faults for every pair
-    assert rel(exists("driver.depot"), same_depot, exists("driver.hours")).code == R.ALREADY_RELATED  # not asked for behind a false conjunct
-    two = call("equal", field("driver.hours"), lit(10))
-    assert rel(call("equal", field("driver.driver_id"), field("truck.truck_id")), two).code == R.GUARD_UNSATISFIED  # first key never agrees
+    bare = spark.createDataFrame([("sha256:" + "f" * 64, "P9", "SPROUT", None, None)], SCHEMA.entity("plant").struct())
+    s = state.with_kind("plant", state.entities["plant"].unionByName(bare))
+    same_plot, low = call("equal", field("plant.plot"), field("pot.plot")), call("less", field("plant.height"), lit(8))
+    rel = lambda *parts: execute(s, R.Rule("rel", R.RelateEntities("stands_in", plants(by=None), R.Selector("pot"), call("all", *parts))))
+    assert rel(same_plot, low).code == R.EXPRESSION_UNAVAILABLE  # an absent key faults for every pair
+    assert rel(exists("plant.plot"), same_plot, exists("plant.height")).code == R.ALREADY_RELATED  # not asked for behind a false conjunct
+    four = call("equal", field("plant.height"), lit(4))
+    assert rel(call("equal", field("plant.tag"), field("pot.label")), four).code == R.GUARD_UNSATISFIED  # first key never agrees
 
 
 @pytest.mark.parametrize("reanchor", [True, False])
 def test_merge(state, reanchor):
-    made = (R.Assignment("driver.driver_id", lit("D_MERGED")), R.Assignment("driver.hours", over("sum", "driver.hours")))
-    out = execute(state, R.Rule("merge", R.MergeEntities(drivers(), "driver", lit("M"), made, reanchor_relations=reanchor)))
-    assert rows(out.state.entities["driver"], "driver_id", "hours") == [("D_MERGED", 25)]
-    merged = out.state.entities["driver"].first()["id"]
-    assert rows(out.state.relations, "from_id", "to_id") == ([(merged, T1)] if reanchor else [])
+    made = (R.Assignment("plant.tag", lit("MIX")), R.Assignment("plant.height", over("sum", "plant.height")))
+    out = execute(state, R.Rule("merge", R.MergeEntities(plants(NORTH), "plant", lit("M"), made, reanchor_relations=reanchor)))
+    assert rows(out.state.entities["plant"], "tag", "height") == [("MIX", 13), ("P3", 20)]
+    merged = out.state.entities["plant"].where("tag = 'MIX'").first()["id"]
+    assert rows(out.state.relations, "from_id", "to_id") == sorted([(P3, Q2)] + [(merged, Q1)] * reanchor, key=str)
     undone(state, out)
 
 
 def test_merge_retains_and_drops_loops(state, spark):
-    loop = spark.createDataFrame([("mentor", "driver", D1, "driver", D2), ("assigned_truck", "driver", D2, "truck", T1)], RELATION_TYPE)
-    s = state.with_relations(state.relations.unionByName(loop))
-    made = (R.Assignment("driver.driver_id", lit("M")),)
-    out = execute(s, R.Rule("merge", R.MergeEntities(drivers(), "driver", lit("M"), made, reanchor_relations=True)))
-    assert rows(out.state.relations, "kind") == [("assigned_truck",)]
+    more = spark.createDataFrame([("shades", "plant", P1, "plant", P2), ("stands_in", "plant", P2, "pot", Q1)], RELATION_TYPE)
+    s = state.with_relations(state.relations.unionByName(more))
+    made = (R.Assignment("plant.tag", lit("M")),)
+    merge = lambda *a, **k: execute(s, R.Rule("merge", R.MergeEntities(plants(NORTH), *a, **k)))
+    out = merge("plant", lit("M"), made, reanchor_relations=True)
+    assert rows(out.state.relations, "kind", "to_id") == sorted([("stands_in", Q1), ("stands_in", Q2)], key=str)
     undone(s, out)
-    kept = execute(s, R.Rule("merge", R.MergeEntities(drivers(), "driver", lit("M"), made, retain_sources=True)))
-    assert kept.state.entities["driver"].count() == 3 and kept.state.relations.count() == 3
-    to_team = execute(s, R.Rule("merge", R.MergeEntities(drivers(), "team", lit("M"), (R.Assignment("team.depot", lit("CHI")),), reanchor_relations=True)))
-    assert to_team.state.relations.count() == 0  # no declared relation fits the new ends
+    kept = merge("plant", lit("M"), made, retain_sources=True)
+    assert kept.state.entities["plant"].count() == 4 and kept.state.relations.count() == 4
+    to_bed = merge("bed", lit("M"), (R.Assignment("bed.plot", lit("north")),), reanchor_relations=True)
+    assert rows(to_bed.state.relations, "from_id") == [(P3,)]  # no declared relation fits the new ends
 
 
 @pytest.mark.parametrize("retain", [True, False])
 def test_split(state, retain):
-    part = lambda n: R.Partition(lit(n), (R.Assignment("shift_log.shift_type", lit(n)), R.Assignment("shift_log.hours", call("divide", field("driver.hours"), lit(2)))))
-    out = execute(state, R.Rule("split", R.SplitEntity(drivers(by=None), "shift_log", (part("A"), part("B")), retain_source=retain)))
-    assert rows(out.state.entities["shift_log"], "shift_type", "hours") == [("A", 5), ("A", 7), ("B", 5), ("B", 7)]
-    assert out.state.entities["driver"].count() == (2 if retain else 0) and out.state.relations.count() == (1 if retain else 0)
+    half = R.Assignment("sample.size", call("divide", field("plant.height"), lit(2)))
+    part = lambda n: R.Partition(lit(n), (R.Assignment("sample.sort", lit(n)), half))
+    out = execute(state, R.Rule("split", R.SplitEntity(plants(by=None), "sample", (part("A"), part("B")), retain_source=retain)))
+    assert rows(out.state.entities["sample"], "sort", "size") == sorted([(n, x) for n in "AB" for x in (2, 4, 10)], key=str)
+    assert out.state.entities["plant"].count() == (3 if retain else 0) and out.state.relations.count() == (2 if retain else 0)
     undone(state, out)
-    assert execute(state, R.Rule("split", R.SplitEntity(drivers(by=None), "shift_log", (part("A"), part("A"))))).code == R.COLLISION
+    assert execute(state, R.Rule("split", R.SplitEntity(plants(by=None), "sample", (part("A"), part("A"))))).code == R.COLLISION
 
 
 def test_rejections_come_in_order(state, spark):
-    gap = spark.createDataFrame([("sha256:" + "e" * 64, "D3", None, "NYC", None)], SCHEMA.entity("driver").struct())
-    s = state.with_kind("driver", state.entities["driver"].unionByName(gap))
-    put = lambda sel, guard=None, value=lit("x"): execute(s, R.Rule("r", R.SelectAndAssign(sel, (R.Assignment("driver.status", value),), guard or call("equal", lit(1), lit(1)))))
-    ten = call("equal", field("driver.hours"), lit(10))
-    assert put(drivers(ten)).code == R.EXPRESSION_UNAVAILABLE  # where is evaluated for every driver
-    assert put(drivers(call("all", exists("driver.hours"), ten))).accepted
-    assert put(drivers(members=R.Cardinality("exactly", 2))).code == R.CARDINALITY_INVALID
-    assert put(drivers(call("equal", field("driver.driver_id"), lit("?")))).code == R.SELECTION_EMPTY
-    assert put(drivers(), call("less", over("sum", "driver.hours"), lit(100))).code == R.EXPRESSION_UNAVAILABLE
-    assert put(drivers(), call("less", lit(5), count())).code == R.GUARD_UNSATISFIED
-    concat = call("concat", field("driver.status"), lit("!"))
-    assert put(drivers(), None, concat).code == R.EXPRESSION_UNAVAILABLE
-    assert put(drivers(), call("equal", count(), lit(2)), concat).accepted  # values are evaluated for groups that pass only
+    gap = spark.createDataFrame([("sha256:" + "e" * 64, "P9", None, "west", None)], SCHEMA.entity("plant").struct())
+    s = state.with_kind("plant", state.entities["plant"].unionByName(gap))
+    put = lambda sel, guard=None, value=lit("x"): execute(s, R.Rule("r", R.SelectAndAssign(sel, (R.Assignment("plant.stage", value),), guard or call("equal", lit(1), lit(1)))))
+    nine = call("equal", field("plant.height"), lit(9))
+    assert put(plants(nine)).code == R.EXPRESSION_UNAVAILABLE  # where is evaluated for every plant
+    assert put(plants(call("all", exists("plant.height"), nine))).accepted
+    assert put(plants(members=R.Cardinality("exactly", 2))).code == R.CARDINALITY_INVALID
+    assert put(plants(call("equal", field("plant.tag"), lit("?")))).code == R.SELECTION_EMPTY
+    assert put(plants(), call("less", over("sum", "plant.height"), lit(100))).code == R.EXPRESSION_UNAVAILABLE
+    assert put(plants(), call("less", lit(5), count())).code == R.GUARD_UNSATISFIED
+    concat = call("concat", field("plant.stage"), lit("!"))
+    assert put(plants(), None, concat).code == R.EXPRESSION_UNAVAILABLE
+    assert put(plants(), call("equal", count(), lit(2)), concat).accepted  # values are evaluated for groups that pass only
 
 
 def test_quantifiers_and_ordered_sums(spark):
@@ -184,21 +192,21 @@ CASES = [
     (call("add", lit(1), lit(2)), 3), (call("add", lit(V.INT_MAX), lit(1)), None), (call("subtract", lit(V.INT_MIN), lit(1)), None), (call("multiply", lit(V.INT_MAX), lit(2)), None),
     (call("divide", lit(-7), lit(2)), -3), (call("divide", lit(1), lit(0)), None), (call("divide", lit(V.INT_MIN), lit(-1)), None), (call("modulo", lit(-7), lit(2)), -1),
     (call("modulo", lit(7), lit(-2)), 1), (call("modulo", lit(1), lit(0)), None), (call("modulo", lit(V.INT_MIN), lit(-1)), None), (call("abs", lit(V.INT_MIN)), None), (call("abs", lit(-4)), 4),
-    (call("clamp", lit(10), lit(0), lit(14)), 10), (call("clamp", lit(10), lit(12), lit(14)), 12), (call("clamp", lit(10), lit(14), lit(12)), None), (call("clamp", field("e.x"), lit(1), lit(2)), None),
+    (call("clamp", lit(7), lit(1), lit(9)), 7), (call("clamp", lit(7), lit(8), lit(9)), 8), (call("clamp", lit(7), lit(9), lit(8)), None), (call("clamp", field("e.x"), lit(1), lit(2)), None),
     (call("coalesce", call("divide", lit(1), lit(0)), lit(5)), 5), (call("if", exists("e.x"), call("divide", lit(1), lit(0)), lit(2)), 2), (call("if", call("equal", field("e.x"), lit(1)), lit(1), lit(2)), None),
     (call("all", call("equal", field("e.x"), lit(1)), call("not", call("equal", lit(1), lit(1)))), None), (call("all", call("equal", lit(1), lit(2)), call("equal", field("e.x"), lit(1))), False),
     (call("any", call("equal", lit(1), lit(1)), call("equal", field("e.x"), lit(1))), True), (call("any", call("equal", field("e.x"), lit(1)), call("equal", lit(1), lit(1))), None),
     (call("concat", lit("a"), lit("b")), "ab"), (call("substring", lit("a😀bc"), lit(1), lit(2)), "😀b"), (call("substring", lit("abc"), lit(3), lit(1)), ""), (call("substring", lit("abc"), lit(-1), lit(1)), None),
     (call("substring", lit("abc"), lit(0), lit(V.INT_MAX)), "abc"), (call("trim", lit("\t  a b \n")), "a b"),
-    (call("timestamp_diff", lit(V.timestamp("2026-08-21T10:00:00Z")), lit(V.timestamp("2026-08-21T10:00:00.5Z"))), 0), (call("timestamp_diff", lit(V.timestamp("2250-01-01T00:00:00.000000001Z")), lit(V.timestamp("1690-01-01T00:00:00Z"))), 17671824000),
-    (call("timestamp_diff", lit(V.timestamp("1690-01-01T00:00:00.9Z")), lit(V.timestamp("2250-01-01T00:00:00Z"))), -17671823999),
-    (call("timestamp_add", lit(V.timestamp("2026-08-21T10:00:00Z")), lit(V.duration("2h"))), V.parse_timestamp("2026-08-21T12:00:00Z")), (call("add", lit(V.timestamp("2262-04-11T00:00:00Z")), lit(V.duration("24h"))), None),
-    (extract("day_of_week", lit(V.date("2026-08-21"))), 5), (extract("day_of_week", lit(V.timestamp("1969-12-31T23:59:59.999999999Z"))), 3), (extract("hour", lit(V.timestamp("1969-12-31T23:59:59Z"))), 23), (extract("year", lit(V.date("0001-01-01"))), 1),
+    (call("timestamp_diff", lit(V.timestamp("2031-03-05T06:00:00Z")), lit(V.timestamp("2031-03-05T06:00:00.5Z"))), 0), (call("timestamp_diff", lit(V.timestamp("2240-06-01T00:00:00.000000001Z")), lit(V.timestamp("1702-02-03T00:00:00Z"))), 16987881600),
+    (call("timestamp_diff", lit(V.timestamp("1702-02-03T00:00:00.9Z")), lit(V.timestamp("2240-06-01T00:00:00Z"))), -16987881599),
+    (call("timestamp_add", lit(V.timestamp("2031-03-05T06:00:00Z")), lit(V.duration("2h"))), V.parse_timestamp("2031-03-05T08:00:00Z")), (call("add", lit(V.timestamp("2262-04-11T00:00:00Z")), lit(V.duration("24h"))), None),
+    (extract("day_of_week", lit(V.date("2031-03-05"))), 3), (extract("day_of_week", lit(V.timestamp("1969-12-31T23:59:59.999999999Z"))), 3), (extract("hour", lit(V.timestamp("1969-12-31T23:59:59Z"))), 23), (extract("year", lit(V.date("0001-01-01"))), 1),
     (call("less", lit(V.date("2026-01-01")), lit(V.date("2026-01-02"))), True),
 ]
 DECIMALS = [
-    ("divide", "7", "3", "2.333333333333333333"), ("divide", "1.5", "2.5", "0.6"), ("divide", "-7", "3", "-2.333333333333333333"), ("divide", "1", "0", None), ("divide", "25.50", "2", "12.75"),
-    ("multiply", "25.50", "2", "51"), ("add", "0.1", "0.2", "0.3"), ("subtract", "25.50", "5.50", "20"), ("multiply", "9" * 30, "9" * 30, str(int("9" * 30) ** 2)), ("subtract", "1", "1.0", "0"),
+    ("divide", "5", "3", "1.666666666666666666"), ("divide", "0.9", "1.2", "0.75"), ("divide", "-5", "3", "-1.666666666666666666"), ("divide", "1", "0", None), ("divide", "81.20", "8", "10.15"),
+    ("multiply", "12.50", "6", "75"), ("add", "0.1", "0.2", "0.3"), ("subtract", "9.75", "0.75", "9"), ("multiply", "9" * 30, "9" * 30, str(int("9" * 30) ** 2)), ("subtract", "1", "1.0", "0"),
 ]
 
 
@@ -220,14 +228,14 @@ def test_scalars(spark):
 
 
 def test_types():
-    check = Checker(SCHEMA, "driver")
-    for bad in (call("less", lit("a"), lit("b")), call("equal", lit("a"), lit(V.atom("a"))), over("sum", "driver.depot"), field("truck.depot"), extract("hour", lit(V.date("2026-01-01"))), call("add", lit(1), lit("a"))):
+    check = Checker(SCHEMA, "plant")
+    for bad in (call("less", lit("a"), lit("b")), call("equal", lit("a"), lit(V.atom("a"))), over("sum", "plant.plot"), field("pot.plot"), extract("hour", lit(V.date("2026-01-01"))), call("add", lit(1), lit("a"))):
         with pytest.raises(ExpressionError):
             check.type_of(bad, "member-in-group")
     with pytest.raises(ExpressionError):
-        check.type_of(field("driver.hours"), "group")
+        check.type_of(field("plant.height"), "group")
     with pytest.raises(ExpressionError):
-        check.type_of(over("sum", "driver.hours"), "member")
+        check.type_of(over("sum", "plant.height"), "member")
     deep = lit(1)
     for _ in range(70):
         deep = call("abs", deep)
@@ -238,18 +246,18 @@ def test_types():
 
 
 def test_identities_agree_on_both_sides(spark):
-    ids = [D2, D1]
+    ids = [P2, P1]
     from quillgraph.functions.columns import Typed
 
     got = spark.createDataFrame([("K é", ids, "T")], "k string, ids array<string>, d string").select(
-        identity.source_id_column(LINEAGE, "driver", F.col("k")), identity.synthetic_id_column(LINEAGE, "team", "r", F.col("ids"), Typed(F.col("d"), V.ATOM)),
+        identity.source_id_column(LINEAGE, "plant", F.col("k")), identity.synthetic_id_column(LINEAGE, "bed", "r", F.col("ids"), Typed(F.col("d"), V.ATOM)),
         identity.timestamp_text(F.lit(V.parse_timestamp("1690-05-06T07:08:09.12Z"))),
     ).first()
-    assert list(got) == [identity.source_id(LINEAGE, "driver", "K é"), identity.synthetic_id(LINEAGE, "team", "r", ids, V.atom("T")), "1690-05-06T07:08:09.12Z"]
+    assert list(got) == [identity.source_id(LINEAGE, "plant", "K é"), identity.synthetic_id(LINEAGE, "bed", "r", ids, V.atom("T")), "1690-05-06T07:08:09.12Z"]
 
 
 def test_patches_check_before_images(state):
-    op = R.SelectAndAssign(drivers(), (R.Assignment("driver.status", lit("X")),))
+    op = R.SelectAndAssign(plants(), (R.Assignment("plant.stage", lit("X")),))
     out = execute(state, R.Rule("r", op))
     twice = apply_changes(out.state, out.changes)
     assert twice.code == R.BEFORE_MISMATCH and twice.state is out.state
