@@ -3,8 +3,8 @@
 compile RULES            the plan's id and order, or its diagnostics (exit 1)
 format RULES             the canonical rule text
 run RULES STATE [OUT]    runs the plan on a JSON state; prints the journal; exit 1 if a rule was rejected
-sql RULES KIND           the plan as one SQL statement that selects a kind, or "relations"
-project RULES FOLDER     the plan as the files of a model project
+sql RULES KIND LINEAGE   the plan as one SQL statement that selects a kind, or "relations", of the lineage with this id
+project RULES FOLDER LINEAGE   the plan as the files of a model project
 diff STATE STATE         the changes between two JSON states
 gate BASE CANDIDATE PROFILE CHECKPOINT STATE...   the clauses of the promotion gate over a corpus; exit 1 unless authorised
 """
@@ -55,10 +55,10 @@ def main(args: list[str]) -> int:
             if out:
                 write_json_state(run.state, out[0])
             return int(run.failure is not None)
-        case ["sql", rules, kind]:
-            print(plan_sql(compiled(rules), "sha256:" + "0" * 64, kind))
-        case ["project", rules, folder]:
-            for name, text in project_files(compiled(rules), "sha256:" + "0" * 64).items():
+        case ["sql", rules, kind, lineage]:
+            print(plan_sql(compiled(rules), lineage, kind))
+        case ["project", rules, folder, lineage]:
+            for name, text in project_files(compiled(rules), lineage).items():
                 path = Path(folder) / name
                 path.parent.mkdir(parents=True, exist_ok=True)
                 path.write_text(text, encoding="utf-8")

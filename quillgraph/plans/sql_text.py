@@ -78,6 +78,10 @@ class Emitter:
             return f"regexp_replace({a[0]}, '(?U)^\\\\s+|\\\\s+$', '')"
         if k == "substring":
             return f"(CASE WHEN {a[1]} >= 0 AND {a[2]} >= 0 THEN substring({a[0]}, cast(least({a[1]}, 2147483645L) AS int) + 1, cast(least({a[2]}, 2147483646L) AS int)) END)"
+        if k == "divide" and V.DECIMAL in [self.kind(x) for x in e.args]:
+            # Cut after 18 places, as whole and rest; exact for operands of up to 18 digits.
+            whole, rest = f"({a[0]} div nullif({a[1]}, 0BD))", f"((({a[0]} % nullif({a[1]}, 0BD)) * 1000000000000000000BD) div {a[1]})"
+            return f"(cast({whole} AS decimal(37,18)) + cast(cast({rest} AS decimal(19,0)) * 0.000000000000000001BD AS decimal(37,18)))"
         if k in ("divide", "modulo"):
             safe = f"CASE WHEN NOT ({a[0]} = {V.INT_MIN + 1}L - 1L AND {a[1]} = -1L) THEN {a[0]} END"
             return f"(({safe}) {'div' if k == 'divide' else '%'} nullif({a[1]}, 0L))"
@@ -128,13 +132,23 @@ def synthetic(lineage: str, kind: str, rule: str, ids: str, value: str, value_ki
     return f"concat('sha256:', sha2(concat(unhex('{head.hex()}'), unhex(lpad(hex(size({ids})), 16, '0')), unhex(array_join({sorted_ids}, '')), unhex('{V.KIND_BYTES[value_kind]:02x}'), {body}), 256))"
 
 
+def staged_columns(plan: Plan) -> dict[str, list[str]]:
+    """The columns of each kind's staging table that a plan reads, and those of "relations"."""
+    return {e.name: [name(c) for c in ("id", *(f.name for f in e.fields))] for e in plan.schema.entities} | {"relations": list(RELATION_COLUMNS)}
+
+
+def active(table: str, columns: list[str]) -> str:
+    """Withdrawn rows stay in the staging tables with is_active false; only active ones are read."""
+    return f"SELECT {', '.join(columns)} FROM {table} WHERE is_active"
+
+
 class Pipeline:
     """Steps in plan order; ``current`` names the relation that holds each kind (and "relations") after the last step."""
 
-    def __init__(self, plan: Plan, lineage: str, ref=lambda step: step, source=lambda table: table):
+    def __init__(self, plan: Plan, lineage: str, ref=lambda step: step, source=lambda table, columns: f"({active(table, columns)})"):
         self.plan, self.lineage, self.ref = plan, lineage, ref
         self.steps: list[tuple[str, str]] = []
-        self.current = {e.name: source(f"raw_entities_{e.name}") for e in plan.schema.entities} | {"relations": source("raw_relations")}
+        self.current = {kind: source(f"raw_{'entities_' * (kind != 'relations')}{kind}", columns) for kind, columns in staged_columns(plan).items()}
         self.at_checkpoint: dict[str, dict[str, str]] = {}
         for i, c in enumerate(plan.rules, 1):
             self.rule(i, c.rule)
@@ -260,12 +274,12 @@ def plan_sql(plan: Plan, lineage: str, result: str) -> str:
 def project_files(plan: Plan, lineage: str, project: str = "quillgraph_plan") -> dict[str, str]:
     """A model project: path -> text. A model for each step, staging views of the sources, and models of each checkpoint."""
     ref = lambda model: "{{ ref('" + model + "') }}"
-    p = Pipeline(plan, lineage, ref=ref, source=lambda t: ref(f"stg_{t}"))
+    p = Pipeline(plan, lineage, ref=ref, source=lambda t, _: ref(f"stg_{t}"))
     files = {"dbt_project.yml": f"name: {project}\nversion: '1.0'\nprofile: {project}\nmodel-paths: [models]\nmodels:\n  {project}:\n    staging: {{+materialized: view}}\n    transformations: {{+materialized: table}}\n    checkpoints: {{+materialized: table}}\n"}
     tables = [f"raw_entities_{e.name}" for e in plan.schema.entities] + ["raw_relations"]
     files["models/staging/sources.yml"] = "version: 2\nsources:\n  - name: quillgraph\n    tables:\n" + "".join(f"      - name: {t}\n" for t in tables)
-    for t in tables:
-        files[f"models/staging/stg_{t}.sql"] = f"SELECT * FROM {{{{ source('quillgraph', '{t}') }}}}\n"
+    for t, columns in zip(tables, staged_columns(plan).values(), strict=True):
+        files[f"models/staging/stg_{t}.sql"] = active(f"{{{{ source('quillgraph', '{t}') }}}}", columns) + "\n"
     for label, sql in p.steps:
         files[f"models/transformations/{label}.sql"] = sql + "\n"
     for key, current in p.at_checkpoint.items():

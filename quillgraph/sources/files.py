@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import values as V
 from ..dsl import Source, parse
 from ..functions.identity import timestamp_text
-from ..schema import RELATION_COLUMNS, RELATION_TYPE, EntityKind, Field, RelationKind, Schema, SchemaError
+from ..schema import RELATION_COLUMNS, EntityKind, Field, RelationKind, Schema, SchemaError
 from ..state import GraphState, empty_state
 
 
@@ -92,16 +92,22 @@ def write_json_state(state: GraphState, path: str) -> None:
 
 
 def read_staged(spark: SparkSession, schema: Schema, lineage: str, folder: str) -> GraphState:
-    """Staging tables under a folder, as Parquet."""
+    """Staging tables under a folder, as Parquet. Rows that are not active (is_active false or null, where the table has it) are left out."""
     state = empty_state(spark, schema, lineage)
+
+    def live(table: str) -> DataFrame:
+        raw = spark.read.parquet(f"{folder}/{table}")
+        return raw.where("is_active") if "is_active" in raw.columns else raw
+
     for e in schema.entities:
-        raw: DataFrame = spark.read.parquet(f"{folder}/raw_entities_{e.name}")
+        raw = live(f"raw_entities_{e.name}")
         state = state.with_kind(e.name, raw.select("id", *[F.col(f"`{f.name}`").cast(f.spark_type()) for f in e.fields]))
-    return state.with_relations(spark.read.schema(RELATION_TYPE).parquet(f"{folder}/raw_relations"))
+    return state.with_relations(live("raw_relations").select(*RELATION_COLUMNS))
 
 
 def write_state(state: GraphState, folder: str) -> None:
-    """The staging tables of a state."""
+    """The staging tables of a state, with the system columns lineage_id and is_active."""
+    system = [F.lit(state.lineage).alias("lineage_id"), F.lit(True).alias("is_active")]
     for k, df in state.entities.items():
-        df.write.mode("overwrite").parquet(f"{folder}/raw_entities_{k}")
-    state.relations.write.mode("overwrite").parquet(f"{folder}/raw_relations")
+        df.select("*", *system).write.mode("overwrite").parquet(f"{folder}/raw_entities_{k}")
+    state.relations.select("*", *system).write.mode("overwrite").parquet(f"{folder}/raw_relations")

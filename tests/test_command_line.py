@@ -27,7 +27,7 @@ def test_commands(spark, tmp_path, capsys):
     assert "accepted" in capsys.readouterr().out
     assert main(["diff", before, after]) == 0
     assert capsys.readouterr().out.count("modified a") == 3
-    assert main(["sql", rules, "a"]) == 0 and main(["project", rules, str(tmp_path / "project")]) == 0
+    assert main(["sql", rules, "a", lineage]) == 0 and main(["project", rules, str(tmp_path / "project"), lineage]) == 0
     assert (tmp_path / "project" / "dbt_project.yml").exists()
     assert main(["gate", rules, rules, "p", "c", before]) == 0
     assert "authorised" in capsys.readouterr().out

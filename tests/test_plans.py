@@ -4,6 +4,7 @@ import json
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph import rules as R
 from quillgraph import values as V
@@ -14,7 +15,7 @@ from quillgraph.plans import corpus
 from quillgraph.plans.compiler import compile_rules
 from quillgraph.plans.diff import diff_metrics, diff_states
 from quillgraph.plans.runner import replay, run_plan
-from quillgraph.plans.sql_text import plan_sql, project_files
+from quillgraph.plans.sql_text import Emitter, plan_sql, project_files
 from quillgraph.schema import RELATION_TYPE, EntityKind, Field, RelationKind, Schema, SchemaError
 from quillgraph.sources import read_json_state, read_staged, write_json_state, write_state
 from quillgraph.state import empty_state, ingest
@@ -231,9 +232,13 @@ def test_emitted_sql_runs(spark, tmp_path):
     plan = compile_rules(source.schema, R.Ruleset(source.ruleset.rules[:4], source.ruleset.checkpoints)).plan
     start = lending_state(spark, source.schema)
     after = run_plan(plan, start, persist=False).state
-    for k, df in start.entities.items():
-        df.createOrReplaceTempView(f"raw_entities_{k}")
-    start.relations.createOrReplaceTempView("raw_relations")
+    write_state(start, f"{tmp_path}/staged")
+    for t in (*(f"raw_entities_{k}" for k in start.entities), "raw_relations"):
+        rows = spark.read.parquet(f"{tmp_path}/staged/{t}")
+        gone = rows.withColumns({"is_active": F.lit(False)} | ({"id": F.lit("sha256:" + "0" * 64)} if "id" in rows.columns else {}))
+        gone.write.mode("append").parquet(f"{tmp_path}/staged/{t}")  # withdrawn rows
+        spark.read.parquet(f"{tmp_path}/staged/{t}").createOrReplaceTempView(t)
+    assert read_staged(spark, source.schema, LINEAGE, f"{tmp_path}/staged").digest() == start.digest()
     for k in ("loan", "notice", "relations"):
         got = spark.sql(plan_sql(plan, LINEAGE, k))
         want = after.relations if k == "relations" else after.entities[k]
@@ -242,6 +247,15 @@ def test_emitted_sql_runs(spark, tmp_path):
     assert "models/checkpoints/chk_priced_loan.sql" in files and "{{ ref(" in files["models/transformations/tx_01_price_loan.sql"]
 
 
+def test_emitted_decimal_division(spark):
+    """The emitted quotient is the engine's: cut after 18 places, NULL for a zero divisor."""
+    plan = compile_rules(small_schema(), R.Ruleset(())).plan
+    for a, b in (("1.50", "0.40"), ("-5", "3"), ("7", "0.07"), ("1", "0"), ("123456789.123456789", "-0.000000003")):
+        got = spark.sql("SELECT " + Emitter(plan, {}).sql(call("divide", lit(V.decimal(a)), lit(V.decimal(b))))).first()[0]
+        want = V.decimal_op("divide", V.parse_decimal(a), V.parse_decimal(b))
+        assert got == want, (a, b)
+
+
 def test_values():
     assert V.decimal("25.500").text() == "25.5" and V.decimal("-0.0").text() == "0" and V.decimal("1200").text() == "1200"
     assert V.duration("8h").data == 28800 and V.duration("90").data == 90
