@@ -1,9 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends and at ``.``, ``;``, ``!``, ``?`` or ``:``
-before white space), each is normalised (A-Z lower-cased, all but letters, digits,
-``.`` and ``-`` turned into one space, trimmed, final dots dropped), and known licence sentences are mapped
-to identifiers. Then the sequence of identifiers of a document is matched against
+A text is cut into sentences at blank lines and at ``.``, ``;``, ``!``, ``?`` or ``:`` before white space (but not in
+"v. 2.0"); line breaks within a sentence count as spaces, so wrapped texts are read. Each sentence is normalised (A-Z
+lower-cased, all but letters, digits, ``.`` and ``-`` turned into one space, trimmed, final dots dropped), and known licence
+sentences are mapped to identifiers. Where a sentence of several lines is unknown, each of its lines is looked up by itself: a notice
+may stand on a line between lines without punctuation. Then the sequence of identifiers of a document is matched against
 ordered rules: a rule is a run of identifiers; at each place the longest rule wins and
 takes its identifiers, as the next place starts behind it.
 
@@ -32,8 +33,10 @@ SENTENCES = {
     "released under the mit license": "mit-notice",
     "licensed under the mit license": "mit-notice",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-condition",
     "the software is provided as is without warranty of any kind express or implied": "as-is-software",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is-software",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0-notice",
     "this work is licensed under the gnu general public license version 2": "gpl-2.0-notice",
     "this program is free software": "gpl-free",
@@ -49,6 +52,7 @@ SENTENCES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "this source code form is subject to the terms of the mozilla public license v. 2.0": "mpl-2.0-notice",
     "all rights reserved": "all-rights-reserved",
 }
@@ -73,26 +77,29 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-4.0-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4.0-notice"]),
     ("CC-BY-4.0", ["cc-by-4.0-notice"]),
-    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
-    ("BSD-2-Clause", ["bsd-grant", "bsd-source"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MPL-2.0", ["mpl-2.0-notice"]),
     ("Proprietary", ["all-rights-reserved"]),
 ]
 
 #: A sentence that maps to an identifier has one of these stems; other sentences are not looked up.
 STEM = r"licen[sc]|permi|redistribut|free software|copy of the gnu|software is provided|above copyright|rights reserved"
-CUT = r"[\r\n]+|[.;!?:](?=\s|$)"
+CUT = r"\r?\n[ \t]*(?:\r?\n[ \t]*)+|(?<!(?:^|[^\p{L}\p{N}])[vV])[.;!?:](?=\s|$)"
+LINES = r"[\r\n]+"
 NOT_WORD = r"[^\p{L}\p{N}.-]+"
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
-    """The identifiers of a text's known sentences, in text order."""
+    """The identifiers of a text's known sentences, in text order; own ``sentences`` need none of the stems."""
     known = SENTENCES if sentences is None else sentences
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-    parts = F.filter(F.split(text, CUT), lambda s: lower_az(s).rlike(STEM))
-    parts = F.transform(parts, lambda s: F.regexp_replace(F.trim(F.regexp_replace(lower_az(s), NOT_WORD, " ")), r"\.+$", ""))
-    found = F.filter(F.transform(parts, lambda s: F.try_element_at(lookup, s)), lambda s: s.isNotNull())
-    return F.when(text.isNotNull() & lower_az(text).rlike(STEM), found).otherwise(F.array().cast("array<string>"))
+    table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
+    stem = (lambda s: lower_az(s).rlike(STEM)) if sentences is None else (lambda s: F.lit(True))
+    look = lambda s: F.try_element_at(table, F.regexp_replace(F.trim(F.regexp_replace(lower_az(s), NOT_WORD, " ")), r"\.+$", ""))
+    there = lambda ids: F.filter(ids, lambda i: i.isNotNull())
+    lines = lambda s: F.transform(F.filter(F.split(s, LINES), stem), look)
+    whole = F.transform(F.filter(F.split(text, CUT), stem), lambda s: F.transform(F.array(look(s)), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(there(lines(s))))[0])
+    return F.when(text.isNotNull() & stem(text), F.flatten(whole)).otherwise(F.array().cast("array<string>"))
 
 
 def match_rules(ids: Column, rules: list[tuple[str, list[str]]] | None = None) -> Column:
@@ -112,7 +119,7 @@ def match_rules(ids: Column, rules: list[tuple[str, list[str]]] | None = None) -
     return F.when(F.size(ids) > 0, F.aggregate(F.sequence(F.lit(1), F.size(ids)), start, step, lambda s: s["names"])).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns the id column, ``sentence_ids`` and ``licenses`` (arrays in text order) for every row."""
-    first = docs.select(F.col(id_col).alias("id"), sentence_ids(F.col(text_col)).alias("sentence_ids"))
-    return first.select(F.col("id").alias(id_col), "sentence_ids", match_rules(F.col("sentence_ids")).alias("licenses"))
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """Returns the id column, ``sentence_ids`` and ``licenses`` (arrays in text order) for every row, by own sentences and rules if given."""
+    first = docs.select(F.col(id_col).alias("id"), sentence_ids(F.col(text_col), sentences).alias("sentence_ids"))
+    return first.select(F.col("id").alias(id_col), "sentence_ids", match_rules(F.col("sentence_ids"), rules).alias("licenses"))

@@ -69,11 +69,14 @@ def license_sql() -> str:
     return rf"""
         WITH known(sentence, id) AS (VALUES {known}), rules(run, name) AS (VALUES {rules}),
         docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-        cut AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS i
-                FROM (SELECT r, regexp_split_to_array(regexp_replace({low.format("text")}, '[.;!?:](\s|$)', chr(10), 'g'), '[
-]+') AS parts FROM docs)),
-        ids AS (SELECT r, list(id ORDER BY i) AS ids FROM cut
-                JOIN known ON sentence = regexp_replace(trim(regexp_replace(s, '[^\p{{L}}\p{{N}}.-]+', ' ', 'g')), '\.+$', '') GROUP BY r),
+        marked AS (SELECT r, regexp_replace(regexp_replace({low.format("text")}, '(^|[^\p{{L}}\p{{N}}])v\.(\s)', '\1v.' || chr(31), 'g'), '[.;!?:](\s|$)', chr(30) || '\1', 'g') AS t FROM docs),
+        whole AS (SELECT r, unnest(parts) AS s, generate_subscripts(parts, 1) AS i
+                  FROM (SELECT r, regexp_split_to_array(t, '\x1e|\r?\n[ \t]*(?:\r?\n[ \t]*)+') AS parts FROM marked)),
+        at_once AS (SELECT r, i, 0 AS j, id FROM whole JOIN known ON sentence = regexp_replace(trim(regexp_replace(s, '[^\p{{L}}\p{{N}}.-]+', ' ', 'g')), '\.+$', '')),
+        lines AS (SELECT r, i, unnest(parts) AS s, generate_subscripts(parts, 1) AS j
+                  FROM (SELECT r, i, regexp_split_to_array(s, '[\r\n]+') AS parts FROM whole ANTI JOIN at_once USING (r, i))),
+        by_line AS (SELECT r, i, j, id FROM lines JOIN known ON sentence = regexp_replace(trim(regexp_replace(s, '[^\p{{L}}\p{{N}}.-]+', ' ', 'g')), '\.+$', '')),
+        ids AS (SELECT r, list(id ORDER BY i, j) AS ids FROM (FROM at_once UNION ALL FROM by_line) GROUP BY r),
         runs AS (SELECT r, unnest(found) AS run, generate_subscripts(found, 1) AS i
                  FROM (SELECT r, regexp_extract_all('<' || array_to_string(ids, '><') || '>', {quoted(pattern)}) AS found FROM ids)),
         named AS (SELECT r, string_agg(name, ',' ORDER BY i) AS licenses, count(*) AS n FROM runs JOIN rules USING (run) GROUP BY r)
