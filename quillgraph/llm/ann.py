@@ -1,7 +1,7 @@
 """Approximate nearest neighbours over learned partitions.
 
-1. A bounded sample (the ``sample_rows`` vectors with the smallest hash of their id) gets an
-   exact neighbour graph, which is cut into ``n_parts`` balanced partitions: balanced
+1. A bounded sample (the ``sample_rows`` vectors with the smallest hash of their id, 128 for each partition at least) gets an
+   exact neighbour graph, which is cut into ``n_parts`` balanced partitions (by default more for more rows: ``parts_of``): balanced
    k-means seeds them, then vertices move to the partition that most of their neighbours
    are in, as long as none outgrows ``slack`` times the mean.
 2. A small classifier (one hidden layer, softmax) learns the partition of a vector.
@@ -37,17 +37,33 @@ from .common import written
 CANDIDATES, QUERIES = 8192, 1024
 
 
+#: The most parts, of PART_SAMPLE sample rows each; a part has about 8 times as many rows as there are parts, up to that.
+MOST_PARTS, PART_SAMPLE = 256, 128
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: no norm overflows or vanishes, and no cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def parts_of(n: int) -> int:
+    """The number of parts for so many rows."""
+    return min(MOST_PARTS, max(32, int(np.sqrt(n / 8))))
+
+
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
     """The ``degree`` nearest others of each row, by cosine."""
     out = np.empty((len(x), degree), np.int64)
-    for lo in range(0, len(x), 512):
-        s = x[lo : lo + 512] @ x.T
+    step = max(16, (1 << 22) // max(1, len(x)))
+    for lo in range(0, len(x), step):
+        s = x[lo : lo + step] @ x.T
         s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-        out[lo : lo + 512] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
+        out[lo : lo + step] = np.argpartition(-s, degree - 1, axis=1)[:, :degree]
     return out
 
 
@@ -133,7 +149,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit_index(sample: np.ndarray, n_parts: int, probes: int | None, target: float, k: int) -> tuple[Router, int]:
     """The router and the number of partitions that a query probes."""
     x = unit(sample)
-    n_parts = max(1, min(n_parts, len(x) // 128))
+    n_parts = max(1, min(n_parts, len(x) // PART_SAMPLE))
     if n_parts == 1:
         return Router(x.shape[1], 1), 1
     graph = neighbour_graph(x, min(10, len(x) - 1))
@@ -149,12 +165,14 @@ def fit_index(sample: np.ndarray, n_parts: int, probes: int | None, target: floa
     return router, min(probes, n_parts)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, n_parts: int = 32, probes: int | None = None, target: float = 0.96, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, n_parts: int | None = None, probes: int | None = None, target: float = 0.96, sample_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Returns query_id, rank (from 1), the neighbour's id and score for each row for which ``is_query`` holds."""
     v = F.col(vector_col).cast("array<double>")
     usable = F.col(id_col).isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = vectors.where(usable).select(F.col(id_col).alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    sample = [r["v"] for r in rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]  # bounded by sample_rows
+    n_parts = n_parts or parts_of(rows.count())
+    sample_rows = max(sample_rows, PART_SAMPLE * n_parts)  # the bound of the sample: 32,768 for the most parts, unless more is asked for
+    sample = [r["v"] for r in rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()]
     kind = vectors.schema[id_col].dataType.simpleString()
     if not sample:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")).limit(0)
@@ -224,6 +242,7 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     """
     if not len(q) or not len(c):
         return None
+    q, c = scaled(q), scaled(c)
     q_norm, c_norm = np.sqrt((q * q).sum(1)), np.sqrt((c * c).sum(1))
     rough = (q / q_norm[:, None]) @ (c / c_norm[:, None]).T
     rough[q_ids[:, None] == c_ids[None, :]] = -np.inf

@@ -114,6 +114,78 @@ def test_license_rules(spark):
     assert got == {k: want for k, (_, want) in texts.items()}
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file""",
+}
+WRAPPED["BSD-2-Clause"] = WRAPPED["BSD-3-Clause"].split("3. ")[0]
+
+
+def test_license_texts_as_published(spark):
+    """Wrapped licence texts and their one-line forms, and notices between lines without punctuation; the SQL gives the same."""
+    import duckdb
+
+    from quillgraph.llm.queries import ORACLE_SQL
+
+    rows = [(k, t, [k]) for k, t in WRAPPED.items()] + [(f"{k} flat", "\n\n".join(" ".join(x.split()) for x in t.split("\n\n")), [k]) for k, t in WRAPPED.items()]
+    rows += [(f"rule {i}", ". ".join(next(s for s, x in license_scan.SENTENCES.items() if x == y) for y in run), [name]) for i, (name, run) in enumerate(license_scan.RULES)]
+    rows += [("between", "some words\nReleased under the MIT License\nother words", ["MIT"])]
+    frame = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(frame).collect()}
+    assert {k: r["licenses"] for k, r in got.items()} == {k: want for k, _, want in rows}
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    twin = {r[0]: (r[1], r[2]) for r in con.execute(ORACLE_SQL["op7_license_scans"]).fetchall()}
+    assert twin == {k: (",".join(r["sentence_ids"]), ",".join(r["licenses"])) for k, r in got.items()}
+    own = license_scan.scan(spark.createDataFrame([("x", "Take it!\nAs you like.")], "doc_id string, text string"), sentences={"as you like": "free"}, rules=[("Free", ["free"])])
+    assert own.first()["licenses"] == ["Free"]
+
+
 def test_license_rows(odd):
     assert [len(r["licenses"]) for r in license_scan.scan(odd).collect()] == [0] * len(ODD)
 
@@ -438,6 +510,31 @@ def test_viterbi_against_all_sequences():
 # -- nearest neighbours
 
 
+def test_ann_large_small_and_repeated_vectors(spark):
+    """Norms that overflow or vanish, and repeated ids, against plain cosines of scaled vectors."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 6))
+    rows = [(i, (v * 10.0 ** (0, 200, -200, 300)[i % 4]).tolist()) for i, v in enumerate(base)] + [(7, rng.normal(size=6).tolist()), (8, (base[8] * 1e200).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(frame, F.col("vec_id") % 5 == 0, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = np.array([np.array(v) / np.abs(v).max() for _, v in rows])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    for q in range(0, 40, 5):
+        best = {}
+        for (i, _), s in zip(rows, x @ x[q], strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -2), s)
+        want = sorted(best.items(), key=lambda z: (-z[1], z[0]))[:3]
+        assert [(n, i) for n, i, _ in sorted(got[q])] == [(n, i) for n, (i, _) in enumerate(want, 1)]
+        assert np.allclose([s for *_, s in sorted(got[q])], [s for _, s in want])
+
+
+def test_ann_parts_grow_with_the_rows():
+    assert [ann.parts_of(n) for n in (0, 1000, 8192, 10**5, 10**6, 10**9)] == [32, 32, 32, 111, 256, 256]
+
+
 def test_ann_against_brute_force(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
