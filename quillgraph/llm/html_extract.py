@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,12 +45,33 @@ WITHIN = DRAWN | frozenset("title noscript object canvas audio video".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table tbody thead select article section div main aside nav footer header body form blockquote".split())
 
+REGIONS = frozenset("article main aside nav footer header form section body".split())
+
 TOKEN = re.compile(rf"(?is)<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|</[^a-z][^>]*(?:>|\Z)")
 ATTR = re.compile(r"(?is)\b(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 TOKENS = re.compile(r"[a-z]+")
 HINT = re.compile(r"(?i)©|copyright|cookie|subscribe|newsletter|advert|sponsor|comment|repl(?:y|ies)|share|log ?in|sign ?(?:in|up)|privacy|terms of|all rights|accept|search")
 
-Path = tuple[tuple[str, tuple[str, ...]], ...]
+
+class Node:
+    """An open element: what it adds to its parent's features. A path is the chain of parents, so a page costs its elements, not their depths."""
+
+    __slots__ = ("parent", "tag", "added", "inner", "region", "article", "weights", "score")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...], active: Counter[str]):
+        self.parent, self.tag = parent, tag
+        own = [f"in:{tag}", *(f"tok:{w}" for w in words)]  # words differ
+        #: Features of this path that no ancestor has; ``active`` counts those of all open elements.
+        self.added = tuple(f for f in own if not active[f])
+        active.update(own)
+        self.inner = words[0] if words else parent.inner if parent else ""
+        self.region = tag if tag in REGIONS else parent.region if parent else ""
+        self.article = tag in ("article", "main") or (parent is not None and parent.article)
+        self.weights: dict[str, float] | None = None
+        self.score = 0.0
+
+    def closed(self, words: tuple[str, ...], active: Counter[str]) -> None:
+        active.subtract([f"in:{self.tag}", *(f"tok:{w}" for w in words)])
 
 
 @lru_cache(maxsize=20_000)
@@ -61,10 +83,12 @@ def attribute_tokens(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def leaf_blocks(page: str) -> list[tuple[Path, str, float]]:
-    """(ancestors, text, share of the text in links) of each non-empty block, in page order."""
-    blocks: list[tuple[Path, str, float]] = []
+def leaf_blocks(page: str) -> list[tuple[Node | None, str, float]]:
+    """(innermost open element, text, share of the text in links) of each non-empty block, in page order."""
+    blocks: list[tuple[Node | None, str, float]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    nodes: list[Node] = []
+    active: Counter[str] = Counter()
     text: list[str] = []
     linked = total = links = 0
     last = 0
@@ -74,10 +98,13 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, float]]:
         if text:
             whole = " ".join(html_lib.unescape("".join(text)).split())
             if whole:
-                path = tuple(e for e in stack if e[0] not in INLINE)
-                blocks.append((path, whole, linked / max(total, 1)))
+                blocks.append((nodes[-1] if nodes else None, whole, linked / max(total, 1)))
             text, linked, total = [], 0, 0
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            nodes.pop().closed(stack.pop()[1], active)
+
     for m in TOKEN.finditer(page):
         a, b = m.span()
         if a > last:
@@ -97,11 +124,12 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, float]]:
                     links -= 1
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    links = 0
-                    break
+            if active[f"in:{name}"]:  # else no open element has this name
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
+                links = 0
             continue
         if name == "br":
             text.append(" ")
@@ -113,16 +141,17 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, float]]:
         if name in VOID or (name in DRAWN and m.group(4).endswith("/")):
             continue
         ends = CLOSES.get(name)
-        if ends:
+        if ends and any(active[f"in:{x}"] for x in ends):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in STOPS:
                     break
         if stack and stack[-1][0] == "p" and name not in WITHIN:
-            stack.pop()
+            close(len(stack) - 1)
         stack.append((name, attribute_tokens(m.group(4))))
+        nodes.append(Node(nodes[-1] if nodes else None, *stack[-1], active))
         links = 0
     if last < len(page):
         text.append(page[last:])
@@ -131,15 +160,19 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, float]]:
     return blocks
 
 
-@lru_cache(maxsize=50_000)
-def path_features(path: Path) -> tuple[str, ...]:
-    tags = [t for t, _ in path]
-    out = {f"in:{t}" for t in tags} | {f"tok:{w}" for _, ws in path for w in ws}
-    out |= {f"parent:{tags[-1] if tags else ''}", f"chain:{'>'.join(tags[-2:])}", f"inner:{next((w for _, ws in reversed(path) for w in ws), '')}"}
-    own = next((t for t in reversed(tags) if t in ("article", "main", "aside", "nav", "footer", "header", "form", "section", "body")), "")
-    out.add(f"region:{own}")
-    if not any(t in ("article", "main") for t in tags):
-        out.add("no-article")
+def place_features(node: Node | None) -> tuple[str, ...]:
+    """The features of a path that depend on its inner end."""
+    tag, region, inner = (node.tag, node.region, node.inner) if node else ("", "", "")
+    chain = f"{node.parent.tag}>{tag}" if node and node.parent else tag
+    out = (f"parent:{tag}", f"chain:{chain}", f"inner:{inner}", f"region:{region}")
+    return out if node and node.article else (*out, "no-article")
+
+
+def path_features(node: Node | None) -> tuple[str, ...]:
+    out, at = list(place_features(node)), node
+    while at:
+        out += at.added
+        at = at.parent
     return tuple(sorted(out))
 
 
@@ -160,7 +193,6 @@ class LinearChainCRF:
         self.weights: dict[str, float] = {}
         self.move = np.zeros((2, 2))
         self.start = np.zeros(2)
-        self.of_path: dict[Path, float] = {}
 
     def fit(self, pages: list[tuple[list[tuple[str, ...]], list[int]]], epochs: int = 40, rate: float = 0.1, l2: float = 1e-4, seed: int = 3) -> LinearChainCRF:
         """Maximises the conditional log likelihood by Adam; expectations by forward-backward over a batch of pages at once."""
@@ -209,14 +241,16 @@ class LinearChainCRF:
         grad[-2:] = np.bincount(y[:, 0], minlength=2) - p[:, 0].sum(0)
         return grad
 
-    def block_scores(self, blocks: list[tuple[Path, str, float]]) -> list[float]:
-        get, known, out = self.weights.get, self.of_path, []
-        for i, (path, text, share) in enumerate(blocks):
-            s = known.get(path)
-            if s is None:
-                if len(known) > 50_000:
-                    known.clear()
-                s = known[path] = sum(get(f, 0.0) for f in path_features(path))
+    def block_scores(self, blocks: list[tuple[Node | None, str, float]]) -> list[float]:
+        get, out = self.weights.get, []
+        for i, (node, text, share) in enumerate(blocks):
+            chain, at = [], node
+            while at and at.weights is not self.weights:
+                chain.append(at)
+                at = at.parent
+            for x in reversed(chain):  # each element's sum is its parent's and its own
+                x.weights, x.score = self.weights, (x.parent.score if x.parent else 0.0) + sum(get(f, 0.0) for f in x.added)
+            s = (node.score if node else 0.0) + sum(get(f, 0.0) for f in place_features(node))
             out.append(s + sum(get(f, 0.0) for f in text_features(text, share, i, len(blocks))))
         return out
 

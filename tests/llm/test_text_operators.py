@@ -492,7 +492,7 @@ def test_html_media_and_formulas_keep_the_text():
     assert [text for _, text, _ in html_extract.leaf_blocks(page)] == ["Home", *want]
     assert html_extract.trained(800).main_text(page) == "\n".join(want)
     drawn = html_extract.leaf_blocks("<p>One <svg><title>Sign</title><path d=''/><text x='1'/></svg> two</p>")
-    assert [(path[-1][0], text) for path, text, _ in drawn] == [("p", "One"), ("title", "Sign"), ("p", "two")]
+    assert [(node.tag, text) for node, text, _ in drawn] == [("p", "One"), ("title", "Sign"), ("p", "two")]
 
 
 def test_viterbi_against_all_sequences():
@@ -568,3 +568,17 @@ def test_balanced_partition():
     x = ann.unit(rng.normal(size=(600, 8)))
     part = ann.balanced_partition(x, ann.neighbour_graph(x, 5), 6)
     assert np.bincount(part, minlength=6).max() <= np.ceil(1.1 * 100)
+
+
+def test_html_of_any_depth():
+    """Features come from the chain of parents: those of a plain reading of all ancestors, and deep pages take time in proportion."""
+    page = "<body class='a b'><div id=c><ul class='b d'><li>one<li>two</ul></div><article class=a><p>three<p class=e>four</article></x></body>five"
+    found = [(t, set(html_extract.path_features(n))) for n, t, _ in html_extract.leaf_blocks(page)]
+    assert [t for t, _ in found] == ["one", "two", "three", "four", "five"]
+    base = {"in:body", "tok:a", "tok:b"}
+    assert found[1][1] == base | {"in:div", "tok:c", "in:ul", "tok:d", "in:li", "parent:li", "chain:ul>li", "inner:b", "region:body", "no-article"}
+    assert found[3][1] == base | {"in:article", "in:p", "tok:e", "parent:p", "chain:article>p", "inner:e", "region:article"}
+    assert found[4][1] == {"parent:", "chain:", "inner:", "region:", "no-article"}
+    n = 50_000
+    blocks = html_extract.leaf_blocks("<div class='x y'>w" * n + "</section>" * n)
+    assert len(blocks) == n and len(html_extract.trained(50).block_scores(blocks)) == n
