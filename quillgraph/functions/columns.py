@@ -112,8 +112,7 @@ class Compiler:
         return Typed(some([p.col for p in parts]), V.BOOL)
 
     def _equal(self, e: Expr, a: Typed, b: Typed) -> Typed:
-        if a.kind == V.DECIMAL and not (a.digits and b.digits):
-            return Typed(a.text() == b.text(), V.BOOL)
+        a, b = common(a, b)
         return Typed(a.col == b.col, V.BOOL)
 
     def _less(self, e: Expr, a: Typed, b: Typed) -> Typed:
@@ -125,20 +124,14 @@ class Compiler:
         return Typed(F.when(c.col.isNull(), F.lit(None)).when(c.col, a.col).otherwise(b.col), a.kind, wider(a, b))
 
     def _coalesce(self, e: Expr, *parts: Typed) -> Typed:
-        if parts[0].kind == V.DECIMAL and not all(p.digits for p in parts):
-            return Typed(F.coalesce(*[p.text() for p in parts]), V.DECIMAL)
-        digits = parts[0].digits
-        for p in parts[1:]:
-            digits = wider(Typed(p.col, p.kind, digits), p)
-        return Typed(F.coalesce(*[p.col for p in parts]), parts[0].kind, digits)
+        parts = common(*parts)
+        return Typed(F.coalesce(*[p.col for p in parts]), parts[0].kind, wider(*parts))
 
     def _clamp(self, e: Expr, x: Typed, lo: Typed, hi: Typed) -> Typed:
-        if x.kind == V.DECIMAL and not (x.digits and lo.digits and hi.digits):
-            x, lo, hi = (Typed(t.text(), V.DECIMAL) for t in (x, lo, hi))
+        x, lo, hi = common(x, lo, hi)
         k, a, b = x.key(), lo.key(), hi.key()
-        digits = wider(Typed(x.col, x.kind, wider(x, lo)), hi) if x.digits else None
         out = F.when(k.isNull() | a.isNull() | b.isNull() | (a > b), F.lit(None)).when(k < a, lo.col).when(k > b, hi.col).otherwise(x.col)
-        return Typed(out, x.kind, digits)
+        return Typed(out, x.kind, wider(x, lo, hi))
 
     def _add(self, e: Expr, a: Typed, b: Typed) -> Typed:
         if V.TIMESTAMP in (a.kind, b.kind):
@@ -166,7 +159,7 @@ class Compiler:
 
     def _divide(self, e: Expr, a: Typed, b: Typed) -> Typed:
         if a.kind == V.DECIMAL:
-            return Typed(decimals.binary("divide", a.text(), b.text()), V.DECIMAL)
+            return decimal_quotient(a, b)
         return Typed(F.call_function("div", *safe_operands(a.col, b.col)), V.INT64)
 
     def _modulo(self, e: Expr, a: Typed, b: Typed) -> Typed:
@@ -210,20 +203,28 @@ def moved(at: Typed, by: Typed, sign: int) -> Typed:
     return Typed(out.cast(BIG).try_cast("bigint"), V.TIMESTAMP)
 
 
-def wider(a: Typed, b: Typed) -> tuple[int, int] | None:
-    """The digits that hold both, as Spark's common type has them."""
-    if not (a.digits and b.digits):
+def wider(*parts: Typed) -> tuple[int, int] | None:
+    """The digits that hold all, as Spark's common type has them."""
+    if not all(p.digits for p in parts):
         return None
-    scale = max(a.digits[1], b.digits[1])
-    whole = max(a.digits[0] - a.digits[1], b.digits[0] - b.digits[1])
-    return whole + scale, scale
+    scale = max(p.digits[1] for p in parts)
+    return max(p.digits[0] - p.digits[1] for p in parts) + scale, scale
+
+
+def common(*parts: Typed) -> tuple[Typed, ...]:
+    """All native, if one type holds them exactly, else all text."""
+    if parts[0].kind != V.DECIMAL or ((w := wider(*parts)) and w[0] <= 38):
+        return parts
+    return tuple(Typed(p.text(), V.DECIMAL) for p in parts)
 
 
-def common(a: Typed, b: Typed) -> tuple[Typed, Typed]:
-    """Both native, if one type holds both exactly, else both text."""
-    if a.kind != V.DECIMAL or ((w := wider(a, b)) and w[0] <= 38):
-        return a, b
-    return Typed(a.text(), V.DECIMAL), Typed(b.text(), V.DECIMAL)
+def decimal_quotient(a: Typed, b: Typed) -> Typed:
+    """Native steps where declared digits allow them, and a native quotient where that fits 38 digits as well."""
+    out = decimals.quotient(a.col, b.col, a.digits, b.digits) if a.digits and b.digits else None
+    if out is None:
+        return Typed(decimals.binary("divide", a.text(), b.text()), V.DECIMAL)
+    digits = (a.digits[0] + b.digits[1] + 18, a.digits[1] + 18)
+    return Typed(out.cast(f"decimal({digits[0]},{digits[1]})"), V.DECIMAL, digits) if digits[0] <= 38 else Typed(out, V.DECIMAL)
 
 
 def decimal_result(op: str, a: Typed, b: Typed) -> Typed:
@@ -247,7 +248,8 @@ def stored(t: Typed, f: Field) -> Column:
         return t.text()
     target = f"decimal({f.digits[0]},{f.digits[1]})"
     out = t.col.try_cast(target)
-    return F.when(out == t.col, out) if t.digits else F.when(decimals.canonical(out, f.digits[1]) == t.col, out)
+    a, b = common(Typed(out, V.DECIMAL, f.digits), t)
+    return F.when(a.col == b.col, out)
 
 
 class Reductions:

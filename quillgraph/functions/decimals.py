@@ -1,4 +1,5 @@
-"""Exact decimals of any length, as canonical text; Arrow-batched. Declared digits use native columns instead where these are exact."""
+"""Exact decimals of any length, as canonical text; Arrow-batched. Declared digits use native columns instead where these are exact,
+which ``canonical`` and ``quotient`` turn into the same texts without Python."""
 
 from __future__ import annotations
 
@@ -65,12 +66,44 @@ def absolute(a: Column) -> Column:
 
 
 def canonical(a: Column, scale: int) -> Column:
-    """A native decimal as canonical text. Up to six places its plain text is never in powers of ten, and only zeros go."""
+    """A native decimal as canonical text. Up to six places its plain text is never in powers of ten, and only zeros go;
+    beyond, the whole part and one plus the fraction are written apart, as neither ever is."""
     if scale == 0:
         return a.cast("string")
     if scale <= 6:
         return F.regexp_replace(F.regexp_replace(a.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return _canonical(a.cast("string"))
+    if scale > 36:
+        return _canonical(a.cast("string"))
+    one = F.lit(1).cast("decimal(1,0)")
+    return _joined(a < 0, F.floor(F.abs(a)).cast("string"), F.substring((F.abs(a) % one + one).cast("string"), 3, scale))
+
+
+def _joined(negative: Column, whole: Column, fraction: Column) -> Column:
+    """Canonical text of digits before and after the point."""
+    rest = F.rtrim(fraction, F.lit("0"))
+    out = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    return F.concat(F.when(negative & (out != "0"), "-").otherwise(""), out)
+
+
+def quotient(a: Column, b: Column, of: tuple[int, int], by: tuple[int, int]) -> Column | None:
+    """Canonical text of a / b, cut 18 places behind the canonical scale of a; NULL for a zero divisor.
+
+    ``of`` and ``by`` are the declared digits. All steps are whole numbers in native columns; None where these need more than 38 digits.
+    """
+    (p, s), (q, t) = of, by
+    if p + s + t > 36 or p + t > 31 or q > 18:
+        return None
+    ten = lambda n: F.lit("1" + "0" * n).cast(f"decimal({n + 1},0)")
+    top, bottom = (F.abs(a) * ten(s + t)).cast(f"decimal({p + t},0)"), (F.abs(b) * ten(t)).cast(f"decimal({q},0)")
+    bottom = F.when(bottom != 0, bottom)
+    left = top % bottom
+    whole = ((top - left).cast(f"decimal({p + t},0)") / bottom).cast(f"decimal({p + t},0)")  # exact: nothing is left
+    digits = F.concat(whole.cast("string"), F.lpad(F.call_function("div", left * ten(18), bottom).cast("string"), 18, "0"))
+    digits = F.lpad(digits, F.greatest(F.length(digits), F.lit(s + 19)), F.lit("0"))
+    point = F.length(digits) - (s + 18)
+    own = (F.abs(a) * ten(s)).cast(f"decimal({p},0)").cast("string")
+    zeros = F.least(F.length(own) - F.length(F.rtrim(own, F.lit("0"))), F.lit(s))
+    return _joined((a < 0) != (b < 0), F.substring(digits, F.lit(1), point), F.substring(digits, point + 1, F.lit(s + 18) - zeros))
 
 
 def order_key(a: Column) -> Column:

@@ -193,22 +193,28 @@ def sql_decimal(x: str) -> str:
     return f"regexp_replace(regexp_replace(({x})::VARCHAR, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
 
 
+def sql_quotient(cents: str, by: int) -> str:
+    """A positive amount in cents, divided as a decimal: cut 18 places behind the last digit of the amount that is not zero."""
+    places = f"(CASE WHEN {cents} % 100 = 0 THEN 18 WHEN {cents} % 10 = 0 THEN 19 ELSE 20 END)"
+    whole, rest = f"({cents} // {100 * by})", f"lpad((({cents} % {100 * by}) * 1000000000000000000::HUGEINT // {by})::VARCHAR, 20, '0')"
+    return f"regexp_replace(regexp_replace({whole}::VARCHAR || '.' || left({rest}, {places}), '0+$', ''), '\\.$', '')"
+
+
 @query(f"""
     WITH l AS (SELECT *, (cents / 100.0)::DECIMAL(12,2) AS price, (pct / 100.0)::DECIMAL(4,2) AS discount FROM ({LINE}))
     SELECT orderkey, linenumber, {sql_decimal("price * (1::DECIMAL(2,0) - discount)")} AS net, {sql_decimal("price + discount")} AS total, {sql_decimal("abs(discount - 0.05)")} AS off,
            discount < 0.05 AS small, {sql_decimal("least(greatest(discount, 0.02), 0.08)")} AS clamped,
-           {sql_decimal("(cents * 1000000::HUGEINT // 8)::DECIMAL(38,0) / 1")} AS eighth
+           {sql_decimal("cents * 125000::HUGEINT")} AS eighth, {sql_quotient("cents", 7)} AS seventh
     FROM l
 """)
 def q_scalar_decimal(spark: SparkSession, d: str) -> DataFrame:
     price, disc, dec = field("lineitem.price"), field("lineitem.discount"), lambda x: lit(V.decimal(x))
     eighth = call("divide", call("multiply", price, dec("100000000")), dec("8"))
-    out = projected(
+    return projected(
         read(spark, d, "lineitem"), "lineitem", "orderkey", linenumber=field("lineitem.linenumber"), net=call("multiply", price, call("subtract", dec("1"), disc)), total=call("add", price, disc),
         off=call("abs", call("subtract", disc, dec("0.05"))), small=call("less", disc, dec("0.05")), clamped=call("clamp", disc, dec("0.02"), dec("0.08")), eighth=eighth,
+        seventh=call("divide", price, dec("7")),
     )
-    # cents * 10^6 / 8 has a fraction of .0 or .5 steps; compare its whole part
-    return out.withColumn("eighth", F.substring_index("eighth", ".", 1))
 
 
 @query(f"""
