@@ -71,39 +71,47 @@ def canonical(a: Column, scale: int) -> Column:
     if scale == 0:
         return a.cast("string")
     if scale <= 6:
-        return F.regexp_replace(F.regexp_replace(a.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        return _trimmed(a.cast("string"))
     if scale > 36:
         return _canonical(a.cast("string"))
     one = F.lit(1).cast("decimal(1,0)")
-    return _joined(a < 0, F.floor(F.abs(a)).cast("string"), F.substring((F.abs(a) % one + one).cast("string"), 3, scale))
+    return _trimmed(F.concat(F.when(a < 0, "-").otherwise(""), F.floor(F.abs(a)).cast("string"), F.substring((F.abs(a) % one + one).cast("string"), 2, scale + 1)))
 
 
-def _joined(negative: Column, whole: Column, fraction: Column) -> Column:
-    """Canonical text of digits before and after the point."""
-    rest = F.rtrim(fraction, F.lit("0"))
-    out = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
-    return F.concat(F.when(negative & (out != "0"), "-").otherwise(""), out)
+def _trimmed(text: Column) -> Column:
+    """Digits with a point, without the zeros at the end."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def quotient(a: Column, b: Column, of: tuple[int, int], by: tuple[int, int]) -> Column | None:
     """Canonical text of a / b, cut 18 places behind the canonical scale of a; NULL for a zero divisor.
 
-    ``of`` and ``by`` are the declared digits. All steps are whole numbers in native columns; None where these need more than 38 digits.
+    ``of`` and ``by`` are the declared digits. All steps are long divisions of whole numbers in native columns, 64 bits wide
+    where these do; None where they need more than 38 digits. Texts stand once each, as Catalyst would compute copies again.
     """
     (p, s), (q, t) = of, by
     if p + s + t > 36 or p + t > 31 or q > 18:
         return None
     ten = lambda n: F.lit("1" + "0" * n).cast(f"decimal({n + 1},0)")
     top, bottom = (F.abs(a) * ten(s + t)).cast(f"decimal({p + t},0)"), (F.abs(b) * ten(t)).cast(f"decimal({q},0)")
+    long = lambda x, y: F.call_function("div", x, y)
+    if p + t <= 18 and q <= 9:
+        top, bottom, ten = top.cast("bigint"), bottom.cast("bigint"), lambda n: F.lit(10**n).cast("bigint")
+        even, step = long, 9
+    else:
+        even, step = lambda x, y: ((x - x % y).cast(f"decimal({p + t},0)") / y).cast(f"decimal({p + t},0)"), 18
     bottom = F.when(bottom != 0, bottom)
-    left = top % bottom
-    whole = ((top - left).cast(f"decimal({p + t},0)") / bottom).cast(f"decimal({p + t},0)")  # exact: nothing is left
-    digits = F.concat(whole.cast("string"), F.lpad(F.call_function("div", left * ten(18), bottom).cast("string"), 18, "0"))
-    digits = F.lpad(digits, F.greatest(F.length(digits), F.lit(s + 19)), F.lit("0"))
-    point = F.length(digits) - (s + 18)
-    own = (F.abs(a) * ten(s)).cast(f"decimal({p},0)").cast("string")
+    whole, left, places = even(top, bottom), top % bottom, []
+    for _ in range(18 // step):
+        places.append(F.lpad(long(left * ten(step), bottom).cast("string"), step, "0"))
+        left = left * ten(step) % bottom
+    if s:
+        places.insert(0, F.lpad((whole % ten(s)).cast("string"), s, "0"))
+        whole = even(whole, ten(s))
+    own = (F.abs(a) * F.lit("1" + "0" * s).cast(f"decimal({s + 1},0)")).cast(f"decimal({p},0)").cast("string")
     zeros = F.least(F.length(own) - F.length(F.rtrim(own, F.lit("0"))), F.lit(s))
-    return _joined((a < 0) != (b < 0), F.substring(digits, F.lit(1), point), F.substring(digits, point + 1, F.lit(s + 18) - zeros))
+    minus = F.when(((a < 0) & (b > 0)) | ((a > 0) & (b < 0)), "-").otherwise("")
+    return _trimmed(F.concat(minus, whole.cast("string"), F.lit("."), F.substring(F.concat(*places), F.lit(1), F.lit(s + 18) - zeros)))
 
 
 def order_key(a: Column) -> Column:
