@@ -14,7 +14,7 @@ from .dsl import parse
 from .expr import Expr, call, count, exists, extract, field, lit, over
 from .functions.columns import Compiler, kind_fields
 from .operators import Outcome, execute
-from .operators.patch import undo_changes
+from .operators.patch import apply_changes, changes_of, relation_changes, undo_changes
 from .operators.selector import select, violates
 from .plans import corpus, profiles
 from .plans.compiler import compile_rules
@@ -544,6 +544,46 @@ def q_status_codes(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, o.code) for k, o in outs.items()], "what string, code string")
 
 
+@query("""
+    SELECT * FROM (VALUES ('insert_twice', 'OP_ENTITY_IDENTITY_COLLISION'), ('update_absent', 'OP_UPDATE_TARGET_NOT_FOUND'), ('delete_absent', 'OP_DELETE_TARGET_NOT_FOUND'), ('update_stale', 'OP_BEFORE_IMAGE_MISMATCH'),
+        ('delete_stale', 'OP_BEFORE_IMAGE_MISMATCH'), ('relate_twice', 'OP_RELATION_ALREADY_PRESENT'), ('relate_nobody', 'OP_RELATION_ENDPOINT_MISSING'), ('unrelate_absent', 'OP_RELATION_NOT_FOUND'), ('delete_related', 'OP_DANGLING_RELATION')) t(what, code)
+""")
+def q_apply_codes(spark: SparkSession, d: str) -> DataFrame:
+    """A change set of each sort that does not apply, with all eight operation codes."""
+    s = read(spark, d, "nation")
+    there, nobody = s.entities["nation"], F.lit("sha256:" + "0" * 64)
+    image = {c: F.col(c) for c in there.columns if c != "id"}
+    stale = image | {"name": F.lit("another")}
+    absent = there.withColumn("id", nobody).limit(1)
+    edges = there.select(F.lit("peer").alias("kind"), F.lit("nation").alias("from_kind"), F.col("id").alias("from_id"), F.lit("nation").alias("to_kind"), F.col("id").alias("to_id"))
+    peers = s.with_relations(edges)
+    change = lambda op, rows, before, after: changes_of(op, "nation", rows, before, after)
+    found = {
+        "insert_twice": (s, change("insert", there, {}, image)), "update_absent": (s, change("update", absent, image, stale)), "delete_absent": (s, change("delete", absent, image, {})),
+        "update_stale": (s, change("update", there, stale, image)), "delete_stale": (s, change("delete", there, stale, {})), "relate_twice": (peers, relation_changes("relate", edges)),
+        "relate_nobody": (s, relation_changes("relate", edges.withColumn("to_id", nobody))), "unrelate_absent": (s, relation_changes("unrelate", edges)), "delete_related": (peers, change("delete", there, image, {})),
+    }
+    return spark.createDataFrame([(k, apply_changes(state, rows).code) for k, (state, rows) in found.items()], "what string, code string")
+
+
+@query("""
+    SELECT * FROM (VALUES ('absent', 'not_executed'), ('running', 'not_answered'), ('waiting', 'unattempted'), ('stopped', 'checkpoint_not_sealed'), ('sealed', 'not_assessed'), ('whole', NULL)) t(case_id, cand_missing)
+""")
+def q_corpus_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of small corpora through ``run_corpus``, and each reason why a candidate's evidence is missing."""
+    start = read(spark, d, "customer")
+    rules = parse(FLAGSHIP).ruleset.rules[:1]
+    plan = lambda *profiles: compile_rules(retail.SCHEMA, R.Ruleset(rules, (R.Checkpoint("tiered", rules[0].id),), profiles)).plan
+    ready = R.Profile("ready", "customer", (R.Requirement("customer.name", "NAME"),))
+    names = ("absent", "running", "waiting", "stopped", "sealed", "whole")
+    run = lambda p, state, *of: corpus.run_corpus(p, dict.fromkeys(of, state), persist=False)
+    base = corpus.results_frame(spark, dict.fromkeys(names, run(plan(ready), start, "whole")["whole"]))
+    nobody = start.with_kind("customer", start.entities["customer"].limit(0))
+    done = run(plan(ready), start, "whole") | run(plan(), start, "sealed") | run(plan(ready), nobody, "stopped") | {"waiting": None}
+    candidate = corpus.results_frame(spark, done).unionByName(spark.createDataFrame([("running", "running", None, None, None)], corpus.RESULT))
+    return corpus.compare(base, candidate, corpus.Policy((("tiered", "tiered"),), "ready")).where("base_missing is null").select("case_id", "cand_missing")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_assign_reductions(spark, sf_dir)
 
