@@ -8,16 +8,19 @@ values, a guard that holds nowhere, and then the integrity of the changes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from .. import values as V
 from ..expr import Expr
 from ..functions import identity
 from ..functions.columns import Compiler, every, kind_fields, stored
+from ..pairs import PAIRS_A_TASK, Pairs, unsent
 from ..schema import RELATION_COLUMNS, EntityKind, SchemaError
 from ..state import GraphState, dangling
 from .patch import CHANGE_COLUMNS, changes_of, relation_changes
@@ -234,8 +237,8 @@ def pair_side(state: GraphState, selector: R.Selector, side: str) -> tuple[Selec
     return s, rows.select(*[F.col(f"`{c}`").alias(f"{side}_{c}") for c in rows.columns])
 
 
-def pair_compiler(state: GraphState, from_kind: str, to_kind: str) -> Compiler:
-    a, b = (kind_fields({f.name: f for f in state.schema.entity(k).fields}, lambda n, p=p: f"{p}_{n}") for k, p in ((from_kind, "from"), (to_kind, "to")))
+def pair_compiler(state: GraphState, from_kind: str, to_kind: str, tag: str = "") -> Compiler:
+    a, b = (kind_fields({f.name: f for f in state.schema.entity(k).fields}, lambda n, p=p: f"{p}_{n}{tag}") for k, p in ((from_kind, "from"), (to_kind, "to")))
 
     def find(path: str):
         head = path.partition(".")[0]
@@ -248,9 +251,15 @@ def pair_compiler(state: GraphState, from_kind: str, to_kind: str) -> Compiler:
     return Compiler(find)
 
 
+def side_of(path: str, from_kind: str) -> str:
+    """The end that a path reads."""
+    head = path.partition(".")[0]
+    return "from" if head in ("from", from_kind) and head != "to" else "to"
+
+
 def sides(e: Expr, from_kind: str, to_kind: str) -> set[str]:
     """Which ends an expression reads."""
-    return {"from" if p.partition(".")[0] in ("from", from_kind) and p.partition(".")[0] != "to" else "to" for p in e.paths()}
+    return {side_of(p, from_kind) for p in e.paths()}
 
 
 def equi_prefix(guard: Expr, from_kind: str, to_kind: str) -> tuple[list[tuple[Expr, Expr]], list[Expr]]:
@@ -282,14 +291,19 @@ def equi_prefix(guard: Expr, from_kind: str, to_kind: str) -> tuple[list[tuple[E
 def relate_entities(state: GraphState, rule: R.Rule, domain: str, exact: bool) -> Outcome | None:
     """Relates (or unrelates) the pairs of two selections for which the guard holds.
 
-    Leading equalities between the ends make a hash or merge join of the pairs; only a guard
+    Leading equalities between the ends join them, and the pairs stay two sides (see ``Pairs``) until
+    someone reads them; if nothing follows the equalities, the status needs no pair. Only a guard
     without one compares all pairs, which is what it asks for.
     """
     op: R.RelateEntities = rule.operation
     undo = isinstance(op, R.UnrelateEntities)
     declared = state.schema.relation(op.relation_kind)
+    kinds = (op.from_selector.kind, op.to_selector.kind)
     (fs, left), (ts, right) = pair_side(state, op.from_selector, "from"), pair_side(state, op.to_selector, "to")
-    first = counted(selection_counts(fs).withColumn("name", F.concat(F.lit("from_"), "name")), selection_counts(ts).withColumn("name", F.concat(F.lit("to_"), "name")))
+    first = counted(
+        selection_counts(fs).withColumn("name", F.concat(F.lit("from_"), "name")), selection_counts(ts).withColumn("name", F.concat(F.lit("to_"), "name")),
+        *[one(x, **{f"{end}_rows": F.count(F.lit(1))}) for x, end, s in ((left, "from", fs), (right, "to", ts)) if s.selector.group_by],
+    )
     ends = [{k.removeprefix(p): v for k, v in first.items() if k.startswith(p)} for p in ("from_", "to_")]
     for end in ends:  # both ends' faults and cardinality come before emptiness
         if (bad := selector_verdict(end)) and bad != "03-selection-nonempty":
@@ -297,26 +311,33 @@ def relate_entities(state: GraphState, rule: R.Rule, domain: str, exact: bool) -
     if not all(end["groups"] for end in ends):
         return rejected(state, "03-selection-nonempty", first)
 
-    compiler = pair_compiler(state, op.from_selector.kind, op.to_selector.kind)
-    keys, rest = equi_prefix(op.guard, op.from_selector.kind, op.to_selector.kind)
-    for i, (a, b) in enumerate(keys):
-        x, y = compiler.typed(a), compiler.typed(b)
-        left = left.withColumn(f"__k{i}", x.text() if x.kind == "decimal" else x.col)
-        right = right.withColumn(f"__k{i}", y.text() if y.kind == "decimal" else y.col)
-    names = [f"__k{i}" for i in range(len(keys))]
-    pairs = left.join(right, names) if keys else left.crossJoin(right)
-    pairs = pairs.withColumn("__guard", every([compiler.bool(e) for e in rest]) if rest else F.lit(True))
-    checks = [guard_counts(pairs)]
-    for i, name in enumerate(names):  # a pair whose earlier keys agree faults where this key is absent
-        before = names[:i]
-        for x, y in ((left, right), (right, left)):
+    compiler = pair_compiler(state, *kinds)
+    keys, rest = equi_prefix(op.guard, *kinds)
+    names = [(f"__a{i}", f"__b{i}") for i in range(len(keys))]
+    for (a, b), (x, y) in zip(keys, names, strict=True):
+        s, t = compiler.typed(a), compiler.typed(b)
+        left, right = left.withColumn(x, s.text() if s.kind == V.DECIMAL else s.col), right.withColumn(y, t.text() if t.kind == V.DECIMAL else t.col)
+    read = {(side_of(p, kinds[0]), p.partition(".")[2]) for e in rest for p in e.paths()}
+    left, right = (d.select(f"{end}_id", *ks, *[f"`{end}_{f}`" for e, f in sorted(read) if e == end]) for d, end, ks in ((left, "from", [a for a, _ in names]), (right, "to", [b for _, b in names])))
+    holds = lambda tag="": every([pair_compiler(state, *kinds, tag).bool(e) for e in rest]) if rest else None
+    sizes = tuple(end.get("rows", end["groups"]) for end in ends)
+    pairs = Pairs(declared, left, right, tuple(names), holds(), sizes, sizes[0] * sizes[1])
+    if names and rest and pairs.n > PAIRS_A_TASK:
+        pairs = replace(pairs, n=pairs.key_count().first()["n"])
+    checks = [pairs.counted("passed", "guard_fault")]
+    for i, (a, b) in enumerate(names):  # a pair whose earlier keys agree faults where this key is absent
+        before = [F.col(x) == F.col(y) for x, y in names[:i]]
+        for x, y, name, ys in ((left, right, a, names[:i]), (right, left, b, [n[::-1] for n in names[:i]])):
             bad = x.where(F.col(name).isNull())
-            bad = bad.join(y.select(*before), before, "left_semi") if before else bad
+            bad = bad.join(y.select(*[n for _, n in ys]), before, "left_semi") if before else bad
             checks.append(one(bad, guard_fault=F.count(F.lit(1))))
-    edges = pairs.where("__guard").select(F.lit(declared.name).alias("kind"), F.lit(declared.from_kind).alias("from_kind"), F.col("from_id"), F.lit(declared.to_kind).alias("to_kind"), F.col("to_id"))
-    own = state.relations.where(F.col("kind") == declared.name)
-    there = one(edges.join(own, list(RELATION_COLUMNS), "left_semi"), related=F.count(F.lit(1)))
-    n = first | counted(*checks, there)
+    listed = state.listed.where(F.col("kind") == declared.name)
+    hits = hit_by(listed, pairs)
+    checks.append(one(hits, related=F.count(F.lit(1))))
+    tag = f"__{uuid.uuid4().hex}"
+    other = pairs.tagged(tag, holds(tag))
+    own = [p for p in state.pairs if p.kind == declared]
+    n = first | {"guard_fault": 0} | counted(*checks, *[p.shared(other, tag).counted("related") for p in own])
     if n["guard_fault"]:
         return rejected(state, "04-evaluable", n)
     if not n["passed"]:
@@ -325,8 +346,22 @@ def relate_entities(state: GraphState, rule: R.Rule, domain: str, exact: bool) -
         return refused(state, R.ALREADY_RELATED, n)
     if undo and n["related"] < n["passed"]:
         return refused(state, R.NOT_RELATED, n)
-    after = state.relations.join(edges, list(RELATION_COLUMNS), "left_anti") if undo else state.relations.unionByName(edges)
-    return Outcome(state.with_relations(after), changes=relation_changes("unrelate" if undo else "relate", edges), counts=n)
+    if not rest:
+        pairs = replace(pairs, n=n["passed"])
+    changes = relation_changes("unrelate" if undo else "relate", pairs.rows())
+    if not undo:
+        return Outcome(state.with_pairs(state.listed, (*state.pairs, pairs)), changes=changes, counts=n)
+    stay = state.listed.join(unsent(hits), list(RELATION_COLUMNS), "left_anti")
+    return Outcome(state.with_pairs(stay, tuple(p.without(other, tag) if p.kind == declared else p for p in state.pairs)), changes=changes, counts=n)
+
+
+def hit_by(relations: DataFrame, pairs: Pairs) -> DataFrame:
+    """Those of the relations that are among the pairs."""
+    out = relations.select(*[F.col(c).alias(f"__r_{c}") for c in RELATION_COLUMNS])
+    out = out.join(unsent(pairs.left, pairs.sizes[0]), F.col("__r_from_id") == F.col("from_id")).join(unsent(pairs.right, pairs.sizes[1]), F.col("__r_to_id") == F.col("to_id"))
+    for a, b in pairs.keys:
+        out = out.where(F.col(a) == F.col(b))
+    return (out if pairs.holds is None else out.where(pairs.holds)).select(*[F.col(f"__r_{c}").alias(c) for c in RELATION_COLUMNS]).distinct()
 
 
 def removed_with_relations(state: GraphState, kind: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import values as V
 from .functions import identity
 from .functions.columns import Typed
+from .pairs import Pairs
 from .schema import RELATION_COLUMNS, RELATION_TYPE, EntityKind, Schema, SchemaError
 
 
@@ -24,6 +25,14 @@ class GraphState:
     lineage: str
     entities: dict[str, DataFrame]
     relations: DataFrame
+    #: Those of the relations that are kept as pairs, and the rows of the others (None: of all).
+    pairs: tuple[Pairs, ...] = ()
+    rest: DataFrame | None = None
+
+    @property
+    def listed(self) -> DataFrame:
+        """The relations that are kept as rows."""
+        return self.relations if self.rest is None else self.rest
 
     @property
     def spark(self) -> SparkSession:
@@ -33,7 +42,13 @@ class GraphState:
         return replace(self, entities=self.entities | {kind: rows})
 
     def with_relations(self, rows: DataFrame) -> GraphState:
-        return replace(self, relations=rows)
+        return replace(self, relations=rows, pairs=(), rest=None)
+
+    def with_pairs(self, listed: DataFrame, pairs: tuple[Pairs, ...]) -> GraphState:
+        rows = listed
+        for p in pairs:
+            rows = rows.unionByName(p.rows())
+        return replace(self, relations=rows, pairs=pairs, rest=listed)
 
     def faults(self) -> list[str]:
         """What breaks the rules of a state: duplicate ids, absent required fields, duplicate or dangling relations."""
@@ -49,8 +64,13 @@ class GraphState:
         base = f"{checkpoint_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         same = lambda df, old: since is not None and df is old
         done = {k: df if same(df, since and since.entities[k]) else stored_table(df, f"{base}/entities/{k}") for k, df in self.entities.items()}
-        relations = self.relations if same(self.relations, since and since.relations) else stored_table(self.relations, f"{base}/relations")
-        return replace(self, entities=done, relations=relations)
+        done = replace(self, entities=done)
+        if same(self.relations, since and since.relations):
+            return done
+        listed = self.listed if same(self.listed, since and since.listed) else stored_table(self.listed, f"{base}/relations")
+        kept = since.pairs if since else ()
+        pairs = tuple(p if any(p is q for q in kept) else p.stored(stored_table, f"{base}/pairs-{i}") for i, p in enumerate(self.pairs))
+        return done.with_pairs(listed, pairs) if pairs else done.with_relations(listed)
 
     def digest(self) -> str:
         """The exact state digest: one hash over all entities and relations in order, streamed through the driver. For small states."""
@@ -124,7 +144,8 @@ def stored_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def empty_state(spark: SparkSession, schema: Schema, lineage: str) -> GraphState:
-    return GraphState(schema, lineage, {e.name: spark.createDataFrame([], e.struct()) for e in schema.entities}, spark.createDataFrame([], RELATION_TYPE))
+    none = lambda struct: spark.createDataFrame([], struct).where(F.lit(False))  # noqa: E731  (planned as empty, so joins with it vanish)
+    return GraphState(schema, lineage, {e.name: none(e.struct()) for e in schema.entities}, none(RELATION_TYPE))
 
 
 def ingest(spark: SparkSession, schema: Schema, lineage: str, sources: dict[str, tuple[DataFrame, Column, dict[str, Column]]], relations: DataFrame | None = None) -> GraphState:
