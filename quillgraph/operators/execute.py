@@ -178,7 +178,7 @@ def as_entities(rows: DataFrame, target: EntityKind, fields: dict[str, R.Assignm
 def collisions(fresh: DataFrame, there: DataFrame) -> DataFrame:
     """New ids that are equal to each other or to one that is there."""
     twice = one(fresh.groupBy("id").count().where("count > 1"), collision=F.count(F.lit(1)))
-    return twice.unionByName(one(fresh.join(there.select("id"), "id", "left_semi"), collision=F.count(F.lit(1))))
+    return twice.unionByName(one(fresh.join(unsent(there.select("id")), "id", "left_semi"), collision=F.count(F.lit(1))))
 
 
 def all_fields(target: EntityKind) -> dict[str, Column]:
@@ -218,16 +218,22 @@ def delete_entity(state: GraphState, rule: R.Rule, domain: str, exact: bool) ->
         return rejected(state, bad, n)
     if n["dangling"]:
         return refused(state, R.DANGLING, n)
-    after = state.with_kind(kind.name, state.entities[kind.name].join(gone.select("id"), "id", "left_anti"))
+    ids = unsent(gone.select("id"), n["passed"] if op.selector.group_by is None else None)
+    after = state.with_kind(kind.name, state.entities[kind.name].join(ids, "id", "left_anti"))
     return Outcome(after, changes=changes_of("delete", kind.name, gone, all_fields(kind), {}), counts=n)
 
 
+def ended(relations: DataFrame, kind: str, ids: DataFrame, n: int | None = None) -> DataFrame:
+    """The relations with __from and __to: what ``ids`` (of ``n`` entities of a kind) holds as ``new`` for that end, NULL if the end is not among them."""
+    for end in ("from", "to"):
+        there = ids.select(F.col("id").alias(f"__{end}_id"), F.col("new").alias(f"__{end}"))
+        relations = relations.join(unsent(there, n), (F.col(f"{end}_kind") == kind) & (F.col(f"{end}_id") == F.col(f"__{end}_id")), "left").drop(f"__{end}_id")
+    return relations
+
+
 def touching(state: GraphState, kind: str, ids: DataFrame) -> DataFrame:
     """Relations with an end among ``ids`` of a kind."""
-    ids = ids.select("id")
-    by_from = state.relations.where(F.col("from_kind") == kind).join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi")
-    by_to = state.relations.where(F.col("to_kind") == kind).join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    return by_from.select(*RELATION_COLUMNS).unionByName(by_to.select(*RELATION_COLUMNS)).distinct()
+    return ended(state.relations, kind, ids.select("id", F.lit("").alias("new"))).where(F.coalesce("__from", "__to").isNotNull()).select(*RELATION_COLUMNS)
 
 
 def pair_side(state: GraphState, selector: R.Selector, side: str) -> tuple[Selection, DataFrame]:
@@ -364,10 +370,11 @@ def hit_by(relations: DataFrame, pairs: Pairs) -> DataFrame:
     return (out if pairs.holds is None else out.where(pairs.holds)).select(*[F.col(f"__r_{c}").alias(c) for c in RELATION_COLUMNS]).distinct()
 
 
-def removed_with_relations(state: GraphState, kind: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The relations that stay when entities go, and those that go with them."""
-    lost = touching(state, kind, gone)
-    return state.relations.join(lost, list(RELATION_COLUMNS), "left_anti").select(*RELATION_COLUMNS), lost
+def removed_with_relations(state: GraphState, kind: str, gone: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The relations that stay when entities go, and those that go with them with __from and __to (see ``ended``)."""
+    marked = ended(state.relations, kind, gone, n)
+    end = F.coalesce("__from", "__to")
+    return marked.where(end.isNull()).select(*RELATION_COLUMNS), marked.where(end.isNotNull())
 
 
 def merge_entities(state: GraphState, rule: R.Rule, domain: str, exact: bool) -> Outcome | None:
@@ -378,7 +385,8 @@ def merge_entities(state: GraphState, rule: R.Rule, domain: str, exact: bool) ->
     s.groups = s.groups.withColumn("__guard", s.group_compiler().bool(op.guard))
     rows = created(s.groups.where("__guard"), state.lineage, target, rule.id, F.col("__ids"), op.discriminator, fields, s.group_compiler(), domain)
     fresh = as_entities(rows, target, fields)
-    n = counted(selection_counts(s), guard_counts(s.groups), fault_count(rows, ["__new", *(f"`__f_{f}`" for f in fields)]), collisions(fresh.where("id is not null"), state.entities[target.name]))
+    members = one(s.groups.where("__guard"), members=F.coalesce(F.sum("__n"), F.lit(0)))
+    n = counted(selection_counts(s), guard_counts(s.groups), members, fault_count(rows, ["__new", *(f"`__f_{f}`" for f in fields)]), collisions(fresh.where("id is not null"), state.entities[target.name]))
     if n["unsure"] and not exact:
         return None
     if bad := verdict(n):
@@ -389,25 +397,24 @@ def merge_entities(state: GraphState, rule: R.Rule, domain: str, exact: bool) ->
     if op.retain_sources:
         return Outcome(state.with_kind(target.name, state.entities[target.name].unionByName(fresh)), changes=changes, counts=n)
     moved = rows.select(F.explode("__ids").alias("id"), F.col("__new").alias("new"))
-    gone = state.entities[kind.name].join(moved.select("id"), "id", "left_semi")
-    keep, lost = removed_with_relations(state, kind.name, moved)
+    ids = unsent(moved.select("id"), n["members"])
+    gone = state.entities[kind.name].join(ids, "id", "left_semi")
+    keep, lost = removed_with_relations(state, kind.name, moved, n["members"])
     changes = changes.unionByName(relation_changes("unrelate", lost)).unionByName(changes_of("delete", kind.name, gone, all_fields(kind), {}))
     if op.reanchor_relations:
-        again = reanchored(state, lost, moved, kind.name, target.name)
+        again = reanchored(state, lost, target.name)
         keep = keep.unionByName(again)
         changes = changes.unionByName(relation_changes("relate", again))
-    after = state.with_kind(kind.name, state.entities[kind.name].join(moved.select("id"), "id", "left_anti")).with_relations(keep)
+    after = state.with_kind(kind.name, state.entities[kind.name].join(ids, "id", "left_anti")).with_relations(keep)
     after = after.with_kind(target.name, after.entities[target.name].unionByName(fresh))
     return Outcome(after, changes=changes, counts=n)
 
 
-def reanchored(state: GraphState, lost: DataFrame, moved: DataFrame, kind: str, target: str) -> DataFrame:
+def reanchored(state: GraphState, lost: DataFrame, target: str) -> DataFrame:
     """Lost relations at their merged ends, where the declared kinds fit; loops are dropped and duplicates collapse."""
     out = lost
     for end in ("from", "to"):
-        to = moved.select(F.lit(kind).alias(f"{end}_kind"), F.col("id").alias(f"{end}_id"), F.col("new").alias(f"{end}_new"))
-        out = out.join(to, [f"{end}_kind", f"{end}_id"], "left")
-        out = out.withColumn(f"{end}_kind", F.when(F.col(f"{end}_new").isNotNull(), F.lit(target)).otherwise(F.col(f"{end}_kind"))).withColumn(f"{end}_id", F.coalesce(f"{end}_new", f"{end}_id"))
+        out = out.withColumns({f"{end}_kind": F.when(F.col(f"__{end}").isNotNull(), F.lit(target)).otherwise(F.col(f"{end}_kind")), f"{end}_id": F.coalesce(f"__{end}", f"{end}_id")})
     fits = F.lit(False)
     for r in state.schema.relations:
         fits = fits | ((F.col("kind") == r.name) & (F.col("from_kind") == r.from_kind) & (F.col("to_kind") == r.to_kind))
@@ -447,9 +454,9 @@ def split_entity(state: GraphState, rule: R.Rule, domain: str, exact: bool) -> O
     if op.retain_source:
         return Outcome(state.with_kind(target.name, state.entities[target.name].unionByName(new)), changes=changes, counts=n)
     gone = sources.select("id", *[f"`{f.name}`" for f in kind.fields])
-    keep, lost = removed_with_relations(state, kind.name, gone)
+    keep, lost = removed_with_relations(state, kind.name, gone.select("id", F.lit("").alias("new")), n["passed"] if op.selector.group_by is None else None)
     changes = changes.unionByName(relation_changes("unrelate", lost)).unionByName(changes_of("delete", kind.name, gone, all_fields(kind), {}))
-    after = state.with_kind(kind.name, state.entities[kind.name].join(gone.select("id"), "id", "left_anti")).with_relations(keep)
+    after = state.with_kind(kind.name, state.entities[kind.name].join(unsent(gone.select("id"), n["passed"] if op.selector.group_by is None else None), "id", "left_anti")).with_relations(keep)
     after = after.with_kind(target.name, after.entities[target.name].unionByName(new))
     return Outcome(after, changes=changes, counts=n)
 

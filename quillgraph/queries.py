@@ -16,6 +16,7 @@ from .functions.columns import Compiler, kind_fields
 from .operators import Outcome, execute
 from .operators.patch import apply_changes, changes_of, relation_changes, undo_changes
 from .operators.selector import select, violates
+from .pairs import unsent
 from .plans import corpus, profiles
 from .plans.compiler import compile_rules
 from .plans.diff import diff_metrics, diff_states
@@ -284,7 +285,7 @@ def q_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def held(s: GraphState) -> GraphState:
     """Each customer holds its orders."""
-    own = s.entities["customer"].select("custkey", F.col("id").alias("from_id")).join(s.entities["order"].select("custkey", F.col("id").alias("to_id")), "custkey")
+    own = unsent(s.entities["customer"].select("custkey", F.col("id").alias("from_id"))).join(s.entities["order"].select("custkey", F.col("id").alias("to_id")), "custkey")
     return s.with_relations(own.select(F.lit("holds").alias("kind"), F.lit("customer").alias("from_kind"), "from_id", F.lit("order").alias("to_kind"), "to_id"))
 
 

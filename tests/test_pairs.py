@@ -94,3 +94,16 @@ def test_status_of_a_keyed_relation_makes_no_pairs(harbour, monkeypatch):
     made = execute(harbour, rule(R.RelateEntities, SAME_PORT))
     assert made.counts["passed"] == 2400
     assert execute(made.state, rule(R.UnrelateEntities, SAME_PORT)).counts["related"] == 2400
+
+
+@pytest.mark.parametrize("name", ["q_merge_reanchor", "q_diff_metrics"])
+def test_tables_of_entities_are_not_sent_to_the_driver(spark, monkeypatch, name):
+    """Spark takes these tables for small, as it goes by compressed files; the same rows come without a broadcast."""
+    from quillgraph import queries
+
+    run = queries.QUERIES[name]
+    before = sorted(map(tuple, run(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(P, "SMALL_ROWS", 0)
+    df = run(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == before
