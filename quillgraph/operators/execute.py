@@ -48,15 +48,16 @@ Store = Callable[[DataFrame], DataFrame]
 
 
 def execute(state: GraphState, rule: R.Rule, domain: str = identity.NAMESPACE, store: Store | None = None) -> Outcome:
-    """Applies a rule to a state. store: writes a table and reads it back, for rules that a checkpoint follows."""
+    """Applies a rule to a state. store: writes a table and reads it back, for assignments that a checkpoint follows, and for insertions, which later rules would compute again."""
     if isinstance(rule.operation, R.SelectAndAssign):
         return select_and_assign(state, rule, domain, False, store) or select_and_assign(state, rule, domain, True, store)
     run = {
         R.InsertEntity: insert_entity, R.DeleteEntity: delete_entity, R.RelateEntities: relate_entities,
         R.UnrelateEntities: relate_entities, R.MergeEntities: merge_entities, R.SplitEntity: split_entity,
     }[type(rule.operation)]
-    out = run(state, rule, domain, False)
-    return run(state, rule, domain, True) if out is None else out
+    kept = (store,) if run is insert_entity else ()
+    out = run(state, rule, domain, False, *kept)
+    return run(state, rule, domain, True, *kept) if out is None else out
 
 
 def counted(*parts: DataFrame) -> dict[str, int]:
@@ -185,7 +186,7 @@ def all_fields(target: EntityKind) -> dict[str, Column]:
     return {f.name: F.col(f"`{f.name}`") for f in target.fields}
 
 
-def insert_entity(state: GraphState, rule: R.Rule, domain: str, exact: bool) -> Outcome | None:
+def insert_entity(state: GraphState, rule: R.Rule, domain: str, exact: bool, store: Store | None = None) -> Outcome | None:
     op: R.InsertEntity = rule.operation
     target = state.schema.entity(op.target_kind)
     fields = new_fields(target, op.assignments, rule.id)
@@ -201,6 +202,7 @@ def insert_entity(state: GraphState, rule: R.Rule, domain: str, exact: bool) ->
         return rejected(state, bad, n)
     if n["collision"]:
         return refused(state, R.COLLISION, n)
+    fresh = store(fresh) if store else fresh
     after = state.with_kind(target.name, state.entities[target.name].unionByName(fresh))
     return Outcome(after, changes=changes_of("insert", target.name, fresh, {}, all_fields(target)), counts=n)
 

@@ -63,12 +63,12 @@ class Run:
 
 
 def run_plan(plan: Plan, state: GraphState, domain: str = identity.NAMESPACE, persist: bool = True) -> Run:
-    """persist: write the state at checkpoints. Without it checkpoints stay lazy."""
+    """persist: write the state at checkpoints, and what insertions make. Without it both stay lazy."""
     out, kept = Run(plan, state, initial=state), state
     for i, compiled in enumerate(plan.rules):
         due = [c for c in plan.checkpoints if c.after == compiled.rule.id]
         path = f"{checkpoint_folder(state.spark)}/rule-{i}-{uuid.uuid4().hex}"
-        store = (lambda df, path=path: stored_table(df, path)) if due and persist else None
+        store = (lambda df, path=path: stored_table(df, path)) if persist and (due or isinstance(compiled.rule.operation, R.InsertEntity)) else None
         outcome: Outcome = execute(out.state, compiled.rule, domain, store)
         entry = Entry(i, compiled.rule.id, outcome.accepted, outcome.code, outcome.obligation, outcome.counts or {})
         out.journal.append(entry)

@@ -107,3 +107,14 @@ def test_tables_of_entities_are_not_sent_to_the_driver(spark, monkeypatch, name)
     df = run(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, df.collect())) == before
+
+
+def test_inserted_rows_are_made_once(spark, tmp_path):
+    """Later rules of a run and its checkpoints read what an insertion made, and do not group the orders again."""
+    from quillgraph import queries
+
+    run = queries.flagship_run(spark, "/root/testdata/sf0.001")
+    assert run.status == "succeeded"
+    plan = run.changes[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and run.changes[0].count() == run.state.entities["account"].count() > 0
+    assert len(run.state.pairs) == 2 and run.state.listed.isEmpty()
