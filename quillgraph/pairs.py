@@ -2,7 +2,7 @@
 
 Two selections related by a key have as many relations as their groups have pairs, far more than entities. So a state
 keeps the sides: checkpoints write them, counts multiply the sizes of groups, and what is unrelated later becomes columns
-of the sides. Rows are made where someone reads them, by a join that shuffles no pair and divides the largest key among tasks.
+of the sides. Rows are made where someone reads them, by a join that shuffles no pair and deals the largest groups to tasks in tiles.
 """
 
 from __future__ import annotations
@@ -47,39 +47,74 @@ class Pairs:
     n: int
 
     def matched(self) -> DataFrame:
-        """All pairs with equal keys."""
+        """All pairs with equal keys. Many are made in tiles: a part of one group meets a part of the other in one task."""
         tasks = min(math.ceil(self.n / PAIRS_A_TASK), MOST_TASKS)
         left, right = self.left, self.right
         equal = [F.col(a) == F.col(b) for a, b in self.keys]
-        if min(self.sizes) <= BROADCAST_ROWS:
-            if self.sizes[0] <= self.sizes[1]:
-                left, right = F.broadcast(left), right.repartition(tasks, "to_id") if tasks > 1 else right
+        small = min(self.sizes) <= BROADCAST_ROWS
+        if tasks > 1:
+            left, right = self.dealt(small)
+            ends = ([a for a, _ in self.keys] + ["__i", "__j"], [b for _, b in self.keys] + ["__x", "__y"])
+            equal.append(F.col("__i") == F.col("__x"))
+            if not small:
+                left, right = left.repartition(tasks, *ends[0]), right.repartition(tasks, *ends[1])
+                equal.append(F.col("__j") == F.col("__y"))
+            elif self.sizes[0] <= self.sizes[1]:
+                right = right.repartition(tasks, *ends[1])
             else:
-                left, right = left.repartition(tasks, "from_id") if tasks > 1 else left, F.broadcast(right)
-        elif (parts := min(math.ceil(math.sqrt(tasks / 4)), 16)) > 1:
-            # a grid: each side is dealt into parts and meets every part of the other
-            numbers = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-            left = left.withColumn("__i", F.pmod(F.xxhash64("from_id"), F.lit(parts)).cast("int")).withColumn("__j", numbers)
-            right = right.withColumn("__y", F.pmod(F.xxhash64("to_id"), F.lit(parts)).cast("int")).withColumn("__x", numbers)
-            left = left.repartition(tasks, *[a for a, _ in self.keys], "__i", "__j")
-            right = right.repartition(tasks, *[b for _, b in self.keys], "__x", "__y").hint("merge")
-            equal += [F.col("__i") == F.col("__x"), F.col("__j") == F.col("__y")]
-        else:
+                left = left.repartition(tasks, *ends[0])
+                equal[-1] = F.col("__j") == F.col("__y")
+        if not small:
             right = unsent(right)
+        elif self.sizes[0] <= self.sizes[1]:
+            left = F.broadcast(left)
+        else:
+            right = F.broadcast(right)
         return left.join(right, equal) if equal else left.crossJoin(right)
 
+    def dealt(self, small: bool) -> tuple[DataFrame, DataFrame]:
+        """The sides with their tiles: (__i, __j) on the left, (__x, __y) on the right.
+
+        Each group is dealt into parts of about ``side`` rows, __i of the left one and __y of the right one; a row is repeated for
+        every part that it meets. So a task has few different ids, which files keep as numbers: with all ids of a group
+        in each task, every row would hold both ids in full. Groups of more rows are few, and broadcast. small: the smaller side is broadcast, and not repeated.
+        """
+        side = max(math.isqrt(PAIRS_A_TASK), 1)
+        parts = lambda n: F.ceil(n / F.lit(side)).cast("int")
+        left, right = self.left, self.right
+        if self.keys:
+            names = [f"__k{i}" for i in range(len(self.keys))]
+            large = self.groups().where((F.col("__l") > side) | (F.col("__r") > side))
+            large = F.broadcast(large.select(*[F.col(a).alias(k) for (a, _), k in zip(self.keys, names, strict=True)], parts(F.col("__l")).alias("__ls"), parts(F.col("__r")).alias("__rs")))
+            left = left.join(large, [F.col(a) == F.col(k) for (a, _), k in zip(self.keys, names, strict=True)], "left").drop(*names)
+            right = right.join(large, [F.col(b) == F.col(k) for (_, b), k in zip(self.keys, names, strict=True)], "left").drop(*names)
+        else:
+            left, right = (d.withColumn("__ls", parts(F.lit(self.sizes[0]))).withColumn("__rs", parts(F.lit(self.sizes[1]))) for d in (left, right))
+        ls, rs = F.coalesce("__ls", F.lit(1)), F.coalesce("__rs", F.lit(1))
+        part = lambda end, n: F.pmod(F.xxhash64(end), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left, right = left.withColumn("__i", part("from_id", ls)), right.withColumn("__y", part("to_id", rs))
+        if not (small and self.sizes[0] <= self.sizes[1]):
+            left = left.withColumn("__j", every(rs))
+        if not (small and self.sizes[0] > self.sizes[1]):
+            right = right.withColumn("__x", every(ls))
+        return left.drop("__ls", "__rs"), right.drop("__ls", "__rs")
+
     def rows(self) -> DataFrame:
         found = self.matched() if self.holds is None else self.matched().where(self.holds)
         k = self.kind
         return found.select(F.lit(k.name).alias("kind"), F.lit(k.from_kind).alias("from_kind"), F.col("from_id"), F.lit(k.to_kind).alias("to_kind"), F.col("to_id"))
 
-    def key_count(self) -> DataFrame:
-        """The number of pairs with equal keys as n, from the sizes of groups."""
+    def groups(self) -> DataFrame:
+        """The keys that both sides have, with the sizes of their groups as __l and __r."""
         a = self.left.groupBy(*[a for a, _ in self.keys]).agg(F.count(F.lit(1)).alias("__l"))
         b = self.right.groupBy(*[b for _, b in self.keys]).agg(F.count(F.lit(1)).alias("__r"))
         equal = [F.col(x) == F.col(y) for x, y in self.keys]
-        met = a.join(unsent(b, min(self.sizes)), equal) if equal else a.crossJoin(b)
-        return met.agg(F.coalesce(F.sum(F.col("__l") * F.col("__r")), F.lit(0)).alias("n"))
+        return a.join(unsent(b, min(self.sizes)), equal) if equal else a.crossJoin(b)
+
+    def key_count(self) -> DataFrame:
+        """The number of pairs with equal keys as n, from the sizes of groups."""
+        return self.groups().agg(F.coalesce(F.sum(F.col("__l") * F.col("__r")), F.lit(0)).alias("n"))
 
     def counted(self, passed: str, fault: str | None = None) -> DataFrame:
         """(name, n): pairs for which ``holds`` is true and, under ``fault``, NULL."""

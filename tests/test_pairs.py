@@ -88,6 +88,19 @@ def test_pairs_of_every_size(harbour, monkeypatch, limits):
     assert ends(execute(harbour, rule(R.RelateEntities, call("all", SAME_PORT, DEEP))).state) == wanted(lambda p, s: port(p, s) and s[3] < p[3])
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_a_task_makes_pairs_of_few_ids(harbour, monkeypatch, broadcast):
+    """Files keep ids as numbers only if a task has few different ones; each task had all 40 pilots of a port before."""
+    monkeypatch.setattr(P, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(P, "PAIRS_A_TASK", 100)
+    for guard, test in ((SAME_PORT, port), (call("all", SAME_PORT, DEEP), lambda p, s: port(p, s) and s[3] < p[3]), (DEEP, lambda p, s: s[3] < p[3])):
+        made = execute(harbour, rule(R.RelateEntities, guard)).state
+        assert ends(made) == wanted(test)
+        tasks = made.relations.groupBy(F.spark_partition_id()).agg(F.countDistinct("from_id"), F.countDistinct("to_id")).collect()
+        assert len(tasks) >= 10
+        assert sum(t[1] for t in tasks) <= 25 * len(tasks) and sum(t[2] for t in tasks) <= 25 * len(tasks)
+
+
 def test_status_of_a_keyed_relation_makes_no_pairs(harbour, monkeypatch):
     """The counts come from sizes of groups; a field called kind is no column of relations."""
     monkeypatch.setattr(P.Pairs, "matched", lambda self: self.left.crossJoin(self.right).where(F.raise_error(F.lit("pairs")).isNull()))
